@@ -21,7 +21,7 @@ _CLASS[ord("0") : ord("9") + 1] = ord("9")
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
 
-_CLOCK = r"(?P<h>9{1,2})[:.](?P<mi>99)(?:[:.](?P<s>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<ap>AA|aa))?"
+_CLOCK = r"(?P<h>9{1,2})[:.](?P<mi>99)(?:[:.](?P<s>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<ap>AA|aa)(?![Aa]))?"
 _ZONE = r"(?: ?(?P<z>A{1,4})?(?P<o>[+-]99(?::?99)?)?)"
 #: Forms as patterns over masks. The group names tell what the parser reads: an epoch e with decimals f; or year y, month
 #: m (a number) or mn (a name), day d, or two numbers a and b in the order of the feed; clock h, mi, s, f, ap; zone z, offset o.
