@@ -9,6 +9,7 @@ from wayledger.functions.text import source_key
 from wayledger.llm.mixing import mix, plan_mix, shares
 from wayledger.llm.packing import fill_report, pack
 from wayledger.llm.tokens import token_count
+from wayledger.llm.truncation import cut_rates, judged
 from wayledger.session import table, use_checkpoints
 
 
@@ -56,5 +57,21 @@ def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(docs, plan), plan)
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all)}
+def _descriptions(spark: SparkSession, d: str) -> DataFrame:
+    tables = (("fixmystreet", "delivery_id"), ("road_status", "row_id"))
+    one, two = (table(spark, d, t).select(F.lit(t).alias("src"), F.col(k).alias("row_key"), "feed", F.col("description").alias("text")) for t, k in tables)
+    return one.unionByName(two)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    cut, _ = judged(_descriptions(spark, d))
+    return cut.select(F.col("src").alias("src_table"), "row_key")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each feed cuts."""
+    return cut_rates(*judged(_descriptions(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all)}
 SQL: dict[str, str] = {}
