@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayledger.functions.text import source_key
 from wayledger.llm.mixing import mix, plan_mix, shares
+from wayledger.llm.offence import fit, labelled_sample, offence_scores
 from wayledger.llm.packing import fill_report, pack
 from wayledger.llm.tokens import token_count
 from wayledger.llm.truncation import cut_rates, judged
@@ -73,5 +74,23 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_rates(*judged(_descriptions(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    docs = table(spark, d, "documents")
+    machine = fit(labelled_sample(docs, table(spark, d, "review_labels")))
+    return offence_scores(docs, machine)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("score > 0").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, offensive ones and their share for each source."""
+    scored = p10_scores(spark, d).join(table(spark, d, "documents").select("doc_id", source_key("source").alias("source")), "doc_id")
+    out = scored.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") > 0).alias("offensive"))
+    return out.withColumn("rate", F.col("offensive") / F.col("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
