@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wayledger.llm.string_kernel import Machine, collapse, fit_svm, kernel_with, nystroem, sketches
 
 #: Labelled documents that the machine is fitted on at most, and landmarks of each kind.
-MOST_LABELLED, LANDMARKS = 4_000, 160
+MOST_LABELLED, LANDMARKS = 4_000, 140
 
 #: Characters that look like letters (fixed values).
 _LOOKALIKE = str.maketrans(
@@ -87,7 +87,7 @@ women and disabled people find the crossing hard | old people are afraid to walk
 
 #: Sentences whose kernel, divided by their lengths, is above this are taken for wordings of the same statement.
 ALIKE = 0.55
-#: Sentences of harmless documents that those of offensive ones are held against at most.
+#: Sentences that stand in harmless documents only, of which at most so many are drawn for the fit.
 MOST_BESIDE = 8_000
 
 
@@ -132,8 +132,11 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5, rounds: int = 5) -> Ma
     bags = [(own, int(y >= 0.5)) for t, y in labelled if t and (own := list(dict.fromkeys(sentences(t))))]
     in_minus = Counter(s for own, y in bags if not y for s in own)
     in_plus = Counter(s for own, y in bags if y for s in own)
-    pool, suspect = sorted(in_minus), sorted(in_plus)
+    suspect = sorted(in_plus)
     some = lambda x, n: [x[i] for i in sorted(rng.choice(len(x), min(n, len(x)), replace=False))] if x else []
+    only = sorted(s for s in in_minus if s not in in_plus)
+    pool = some(only, MOST_BESIDE)
+    part = len(only) / max(1, len(pool))
     share = max(1, sum(1 for _, y in bags if not y)) / max(1, sum(y for _, y in bags))
     fresh = [s for s in suspect if in_plus[s] * share > 4 * in_minus[s]]
     landmarks, root = nystroem(list(dict.fromkeys([*plus, *minus, *some(fresh, 2 * LANDMARKS), *some(pool, LANDMARKS)])))
@@ -144,11 +147,9 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5, rounds: int = 5) -> Ma
     held = [[index[s] for s in own] for own, y in bags if y]
     if 0 < len(held) < len(bags):
         place = {index[s]: k for k, s in enumerate(suspect)}
-        beside = some([s for s in pool if s not in in_plus], MOST_BESIDE)
-        weight = max(1.0, sum(s not in in_plus for s in pool) / max(1, len(beside)))
-        counts = np.array([in_minus[s] * weight for s in beside], dtype=np.float32)
+        counts = np.array([in_minus[s] * part for s in pool], dtype=np.float32)
         own = np.array([in_minus[s] for s in suspect], dtype=np.float32)
-        lift[list(place)] = _lift(suspect, [[place[i] for i in ids] for ids in held], own, beside, counts, len(held), len(bags) - len(held))
+        lift[list(place)] = _lift(suspect, [[place[i] for i in ids] for ids in held], own, pool, counts, len(held), len(bags) - len(held))
     anchors = [index[s] for s in plus], [index[s] for s in minus]
     doubtful: set[int] = set()
     w, b, value = np.zeros(x.shape[1]), 0.0, np.zeros(len(index))
@@ -161,8 +162,8 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5, rounds: int = 5) -> Ma
                 best = max(ids, key=lambda i: value[i] if lift[i] > 2.5 else -9.0)
                 chosen.update(i for i in ids if value[i] > 0 and lift[i] > 2.5 or i == best and lift[i] > 5 and value[i] > -0.5)
         if turn == 0 and held:
-            doubtful = _doubtful(list(index), chosen - set(anchors[0]), [index[s] for s, n in in_minus.items() if n == 1])
-        other = {index[s] for s in in_minus if lift[index[s]] < 5} - doubtful - chosen | set(anchors[1])
+            doubtful = _doubtful(list(index), chosen - set(anchors[0]), [index[s] for s, n in in_minus.items() if n == 1 and s in index])
+        other = {index[s] for s in in_minus if s in index and lift[index[s]] < 5} - doubtful - chosen | set(anchors[1])
         ids = np.array([*sorted(chosen), *sorted(other)])
         y = np.r_[np.ones(len(chosen)), -np.ones(len(other))]
         weight = np.r_[np.full(len(chosen), max(1.0, min(8.0, len(other) / max(1, len(chosen))))), np.ones(len(other))]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Hashed features.
-BITS = 17
+BITS = 15
 DECAY = 0.6
 #: Offsets of the characters of a subsequence and its weight.
 SHAPES = [((0, 1, 2), 1.0), ((0, 1, 3), DECAY), ((0, 2, 3), DECAY), ((0, 1, 2, 3), 1.0), ((0, 1, 2, 4), DECAY), ((0, 1, 3, 4), DECAY), ((0, 2, 3, 4), DECAY)]
@@ -94,18 +94,23 @@ class Machine:
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the examples inside the margin."""
     n, d = x.shape
-    x1 = np.c_[x, np.ones(n)].astype(np.float64)
+    x1 = np.c_[x, np.ones(n, dtype=x.dtype)]
     w = np.zeros(d + 1)
     ridge = np.eye(d + 1)
     ridge[d, d] = 1e-3
     for _ in range(rounds):
-        inside = y * (x1 @ w) < 1
-        a, b, s = x1[inside], y[inside], weight[inside]
-        new = np.linalg.solve(ridge + 2 * c * (a.T * s) @ a, 2 * c * a.T @ (s * b))
-        if np.abs(new - w).max() < 1e-6:
-            w = new
+        inside = np.nonzero(y * (x1 @ w.astype(x.dtype)) < 1)[0]
+        square, side = ridge.copy(), np.zeros(d + 1)
+        for lo in range(0, len(inside), 4096):  # in blocks, to keep double precision small
+            own = inside[lo : lo + 4096]
+            a = x1[own].astype(np.float64)
+            square += 2 * c * (a.T * weight[own]) @ a
+            side += 2 * c * a.T @ (weight[own] * y[own])
+        new = np.linalg.solve(square, side)
+        done = np.abs(new - w).max() < 1e-5
+        w = new if done or not np.any(w) else 0.5 * w + 0.5 * new
+        if done:
             break
-        w = 0.5 * w + 0.5 * new if np.any(w) else new
     return w[:d], float(w[d])
 
 
@@ -119,4 +124,4 @@ def nystroem(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     landmarks = np.stack([explicit(s) for s in sentences], axis=1)
     values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
     keep = values > 1e-4 * values.max()
-    return landmarks, vectors[:, keep] / np.sqrt(values[keep])
+    return landmarks, (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
