@@ -9,11 +9,21 @@ from wayledger.functions.text import source_key
 from wayledger.llm.mixing import mix, plan_mix, shares
 from wayledger.llm.offence import fit, labelled_sample, offence_scores
 from wayledger.llm.packing import fill_report, pack
+from wayledger.llm.pii import personal_information
 from wayledger.llm.tokens import token_count
 from wayledger.llm.truncation import cut_rates, judged
 from wayledger.session import table, use_checkpoints
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(table(spark, d, "fixmystreet"), "delivery_id", ["title", "description"])
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All reports with placeholders for what was found."""
+    return personal_information(table(spark, d, "fixmystreet"), "delivery_id", ["title", "description"], redacted=True)
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", token_count("text").alias("tokens"))
 
@@ -92,5 +102,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rate", F.col("offensive") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p7_found, p7_redacted, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
