@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -16,27 +17,31 @@ LABELS = ("O", "email", "phone", "id_number", "address", "name")
 #: Places around a token whose own features count for it.
 WINDOW = (-3, -2, -1, 0, 1, 2, 3)
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+_TOKEN = re.compile(r"\s?(?:[^\W\d_]+|\d+|[^\w\s]|_)")
 #: Ends of road names, short forms included (fixed values).
 _ROAD = frozenset("road rd street st lane ln avenue ave close drive dr way row gate fold terrace bank grove brow crescent".split())
 _TITLE = frozenset("mr mrs ms miss dr prof rev cllr".split())
 _PLACE = frozenset("arms park primary school sons inn church hall".split())
 
 
+def keys(text: str) -> list[str]:
+    """The tokens of a text: runs of letters, runs of digits, single signs, each with the blank before it, if any."""
+    return _TOKEN.findall(text)
+
+
 def tokenize(text: str) -> list[tuple[int, int, str]]:
-    """(from, to, key) of each token: runs of letters, runs of digits, single signs. A key begins with a mark if the token
-    follows the one before without a blank."""
-    out, last = [], -1
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        out.append((a, b, ("+" if a == last else " ") + m.group()))
-        last = b
-    return out
+    """(from, to, key) of each token, the places without the blank."""
+    return [(m.start() + m.group()[0].isspace(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
+
+
+def _bare(key: str) -> str:
+    return key[1:] if key[0].isspace() else key
 
 
 def token_features(key: str) -> list[str]:
     """Features of a token by itself."""
-    glued, t = key[0], key[1:]
+    t = _bare(key)
+    glued = "+" if t is key else " "
     low = t.lower()
     if t.isdigit():
         return [f"g{glued}", f"d{min(len(t), 13)}", f"g{glued}d{min(len(t), 13)}", f"p{t[:2]}" if len(t) > 2 else "p", "digits", f"P{t[:4]}" if len(t) > 4 else "P"]
@@ -52,7 +57,7 @@ def token_features(key: str) -> list[str]:
 
 def skip_key(key: str) -> str | None:
     """What repeated tokens are known by: words of four letters, numbers of three digits. Shorter ones have no skip edge."""
-    t = key[1:].lower()
+    t = _bare(key).lower()
     return t if (t.isalpha() and len(t) >= 4) or (t.isdigit() and len(t) >= 3) else None
 
 
@@ -65,22 +70,23 @@ class Chains:
     edges: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), dtype=np.int64))  # document, place, later place
 
 
-def chains(documents: list[list[str]], type_of, common: frozenset[str]) -> Chains:
-    """type_of gives a key's number. Words that are common in any text get no skip edge."""
-    n = len(documents)
-    lengths = np.fromiter((len(d) for d in documents), dtype=np.int64, count=n)
-    types = np.full((n, int(lengths.max()) if n else 0), -1, dtype=np.int32)
-    edges = []
-    for i, d in enumerate(documents):
-        types[i, : len(d)] = [type_of(k) for k in d]
-        seen: dict[str, int] = {}
-        for t, k in enumerate(d):
-            s = skip_key(k)
-            if s is not None and s not in common:
-                if s in seen:
-                    edges.append((i, seen[s], t))
-                seen[s] = t
-    return Chains(types, lengths, np.array(edges, dtype=np.int64).reshape(-1, 3))
+def chains(types: list[list[int]], skips: np.ndarray) -> Chains:
+    """Documents as lists of type numbers; skips has a number for what repeated tokens of each type are known by, -1 for
+    types without skip edges. Each occurrence is joined to the next one in its document."""
+    n = len(types)
+    lengths = np.fromiter(map(len, types), dtype=np.int64, count=n)
+    wide = int(lengths.max()) if n else 0
+    out = np.full((n, wide), -1, dtype=np.int32)
+    flat = np.fromiter(chain.from_iterable(types), dtype=np.int32, count=int(lengths.sum()))
+    out[np.arange(wide)[None, :] < lengths[:, None]] = flat
+    doc = np.repeat(np.arange(n), lengths)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    own = np.nonzero(skips[flat] >= 0)[0] if len(flat) else np.zeros(0, dtype=np.int64)
+    known = doc[own] * (int(skips.max(initial=0)) + 1) + skips[flat[own]]
+    order = np.argsort(known, kind="stable")
+    same = known[order][1:] == known[order][:-1]
+    early, late = own[order][:-1][same], own[order][1:][same]
+    return Chains(out, lengths, np.stack([doc[early], place[early], place[late]], axis=1).astype(np.int64))
 
 
 def emissions(c: Chains, table: np.ndarray) -> np.ndarray:
@@ -104,6 +110,14 @@ def marginals(c: Chains, scores: np.ndarray, trans: np.ndarray, start: np.ndarra
     move, first = np.exp(trans).astype(np.float32), np.exp(start).astype(np.float32)
     agree = np.exp(skip).astype(np.float32)
     e = c.edges
+    if not pairs and len(e) and rounds:
+        # documents without skip edges are exact after one pass; the others go round by themselves
+        with_edges, place = np.unique(e[:, 0], return_inverse=True)
+        if len(with_edges) < b:
+            out = marginals(Chains(c.types, c.lengths), scores, trans, start, skip)
+            own = Chains(c.types[with_edges], c.lengths[with_edges], np.c_[place, e[:, 1:]])
+            out[with_edges] = marginals(own, scores[with_edges], trans, start, skip, rounds)
+            return out
     if not len(e):
         rounds = 0
     to_late = np.full((len(e), k), 1.0 / k, dtype=np.float32)
@@ -160,22 +174,34 @@ class Model:
     def reset(self) -> None:
         self._types: dict[str, int] = {}
         self._rows = np.zeros((len(WINDOW), 4096, len(LABELS)), dtype=np.float32)
+        self._skips = np.full(4096, -1, dtype=np.int64)
+        self._skip_numbers: dict[str, int] = {}
         self._outside = self._vector(["outside"])
 
     def _vector(self, names: list[str]) -> np.ndarray:
         ids = [i for f in names if (i := self.features.get(f)) is not None]
         return self.weights[:, ids].sum(axis=1)
 
-    def type_of(self, key: str) -> int:
+    def _type_of(self, key: str) -> int:
         """The number of a token's type; its vectors are worked out once."""
         n = self._types.get(key)
         if n is None:
             n = self._types[key] = len(self._types)
             if n + 1 >= self._rows.shape[1]:
                 self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)], axis=1)
+                self._skips = np.concatenate([self._skips, np.full_like(self._skips, -1)])
             self._rows[:, n] = self._vector(token_features(key))
+            s = skip_key(key)
+            if s is not None and s not in self.common:
+                self._skips[n] = self._skip_numbers.setdefault(s, len(self._skip_numbers))
         return n
 
+    def types(self, keys_: list[str]) -> list[int]:
+        out = list(map(self._types.get, keys_))
+        if None in out:
+            out = [self._type_of(k) if n is None else n for k, n in zip(keys_, out)]
+        return out
+
     def table(self) -> np.ndarray:
         n = len(self._types)
         rows = self._rows[:, : n + 1]
@@ -195,13 +221,18 @@ class Model:
                 hi = lo + (hi - lo) // 2
             part = order[lo:hi]
             lo = hi
-            c = chains([documents[i] for i in part], self.type_of, self.common)
+            c = chains([self.types(documents[i]) for i in part], self._skips)
             p = marginals(c, emissions(c, self.table()), self.trans, self.start, self.skip).argmax(axis=2)
-            for row, i in zip(p, part):
-                out[i] = row[: len(documents[i])]
+            hit = p.any(axis=1)
+            for row, i, h in zip(p, part, hit):
+                out[i] = row[: len(documents[i])] if h else _NONE
         return out
 
 
+#: Stands for a document without any label.
+_NONE = np.zeros(0, dtype=np.int64)
+
+
 def train(documents: list[list[str]], labels: list[np.ndarray], epochs: int = 25, rate: float = 0.1, l2: float = 1e-5, least: int = 3, seed: int = 3, batch: int = 512) -> Model:
     """Maximum likelihood by Adam, the expectations by message passing over chain and skip edges."""
     from collections import Counter
@@ -229,7 +260,9 @@ def train(documents: list[list[str]], labels: list[np.ndarray], epochs: int = 25
     step = 0
     order = np.argsort([len(d) for d in documents], kind="stable")
     parts = [order[i : i + batch] for i in range(0, len(order), batch)]
-    prepared = [chains([documents[i] for i in part], number.__getitem__, common) for part in parts]
+    known: dict[str, int] = {}
+    skips = np.array([known.setdefault(q, len(known)) if (q := skip_key(key)) is not None and q not in common else -1 for key in names])
+    prepared = [chains([[number[key] for key in documents[i]] for i in part], skips) for part in parts]
     for epoch in range(epochs):
         for j in rng.permutation(len(parts)):
             part, c = parts[j], prepared[j]

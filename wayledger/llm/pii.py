@@ -46,11 +46,11 @@ def load_model(path: str | None = None) -> tuple:
 
 def find(model: crf.Model, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """(from, to, kind) of the personal information in each text, as the field labels it and the exact check lets it stand."""
-    tokens = [crf.tokenize(t) for t in texts]
     out = []
-    for t, own, y in zip(texts, tokens, model.label([[k for *_, k in d] for d in tokens])):
-        found = []
-        if y.any():
+    for t, y in zip(texts, model.label([crf.keys(t) for t in texts])):
+        found: list[tuple[int, int, str]] = []
+        if len(y):
+            own = crf.tokenize(t)
             i, n = 0, len(y)
             while i < n:
                 j = i + 1
@@ -58,9 +58,7 @@ def find(model: crf.Model, texts: list[str]) -> list[list[tuple[int, int, str]]]
                     while j < n and y[j] == y[i]:
                         j += 1
                     kind = crf.LABELS[y[i]]
-                    for a, b in _parts(t, own[i][0], own[j - 1][1]):
-                        if plausible(kind, t[a:b]):
-                            found.append((a, b, kind))
+                    found += [(a, b, kind) for a, b in _parts(t, own[i][0], own[j - 1][1]) if plausible(kind, t[a:b])]
                 i = j
         out.append(found)
     return out

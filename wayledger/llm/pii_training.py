@@ -58,9 +58,10 @@ def examples(texts: list[str], rng: random.Random, renamed: float = 0.2, blank:
             new: dict[str, str] = {}
             names = {w.lower() for w in GIVEN} | {p.lower() for w in FAMILY for p in w.split("-")}
             for i, k in enumerate(keys):
-                if k[1:].lower() in names:
-                    word = new.setdefault(k[1:].lower(), _made_up(rng, k[1:]))
-                    keys[i] = k[0] + (word.upper() if k[1:].isupper() else word.capitalize() if k[1].isupper() else word.lower())
+                bare = k.lstrip()
+                if bare.lower() in names:
+                    word = new.setdefault(bare.lower(), _made_up(rng, bare))
+                    keys[i] = k[: len(k) - len(bare)] + (word.upper() if bare.isupper() else word.capitalize() if bare[0].isupper() else word.lower())
         docs.append(keys)
         labels.append(y)
     return docs, labels
@@ -85,7 +86,7 @@ def main(path: str, epochs: int = 14) -> None:
     model = crf.train(docs[:cut], labels[:cut], epochs=epochs)
     got = model.label(docs[cut:])
     for k, name in enumerate(crf.LABELS[1:], 1):
-        pairs = [((g == k).any(), (y == k).any()) for g, y in zip(got, labels[cut:])]
+        pairs = [(len(g) and (g == k).any(), (y == k).any()) for g, y in zip(got, labels[cut:])]
         print(name, "right", sum(a and b for a, b in pairs), "wrong", sum(a and not b for a, b in pairs), "missed", sum(b and not a for a, b in pairs))
     print(len(docs), "examples,", len(model.features), "features, skip", np.round(model.skip, 2))
     save(model, Path(__file__).with_name("pii_model.npz"))
