@@ -25,7 +25,9 @@ def coordinate(c: Column | str) -> Column:
     plain = F.when(bare.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)(e[-+]?[0-9]{1,2})?°?$"), F.regexp_replace(bare, "°", "").try_cast("double"))
     dms = F.when(bare.rlike(_DMS), part(1) + part(2) / 60.0 + F.coalesce(part(3), F.lit(0.0)) / 3600.0)
     value = F.coalesce(plain, dms)
-    return F.when(body.startswith("-") | half.isin("S", "W"), -value).otherwise(value)
+    general = F.when(body.startswith("-") | half.isin("S", "W"), -value).otherwise(value)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(r"^-?[0-9]{1,3}\.[0-9]{1,15}$"), c.try_cast("double")).otherwise(general)
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -16,6 +16,8 @@ from wayledger.session import broadcast_if_small
 
 #: Sides of at most this many rows are broadcast; larger ones are joined by shuffle on their cells.
 SMALL = 500_000
+#: Rings are broadcast up to this many.
+SMALL_RINGS = 20_000
 
 
 # ---- points near points
@@ -112,40 +114,92 @@ def cover(ring: list[list[float]], coarsest: int, finest: int) -> list[tuple[int
     return out
 
 
-def coverage(regions: DataFrame, region: str, ring: str, coarsest: int = 11, finest: int = 15) -> DataFrame:
-    """(region_id, level, cx, cy, edges): the cells that cover each region. Cells with border carry the edges of the
-    region, interior ones null. Made where the regions are, one at a time."""
-    edge = pa.struct([("x", pa.float64()), ("y1", pa.float64()), ("y2", pa.float64()), ("slope", pa.float64())])
-    schema = pa.schema([("region_id", pa.string()), ("level", pa.int32()), ("cx", pa.int64()), ("cy", pa.int64()), ("edges", pa.list_(edge))])
+def coverage(regions: DataFrame, region: str, ring: str, coarsest: int = 11, finest: int = 17) -> DataFrame:
+    """(region_id, level, cx, cy, interior): the cells that cover each region. Made where the regions are, one at a time."""
+    names = ["region_id", "level", "cx", "cy", "interior"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, points in zip(b["region_id"].to_pylist(), b["ring"].to_pylist()):
                 cells = cover(points or [], coarsest, finest)
-                own = [dict(zip(("x", "y1", "y2", "slope"), e)) for e in _edges(points or [])]
-                columns = [[name] * len(cells), *([c[k] for c in cells] for k in range(3)), [None if c[3] else own for c in cells]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                columns = [[name] * len(cells), *([c[k] for c in cells] for k in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))], names)
+
+    source = regions.where(F.col(region).isNotNull()).select(F.col(region).cast("string").alias("region_id"), F.col(ring).alias("ring"))
+    return source.mapInArrow(build, "region_id string, level int, cx long, cy long, interior boolean")
+
+
+def ring_edges(regions: DataFrame, region: str, ring: str) -> DataFrame:
+    """(region_id, edges): the edges of each region's ring that aren't level, as [{x, y1, y2, slope}]."""
+    edge = pa.struct([("x", pa.float64()), ("y1", pa.float64()), ("y2", pa.float64()), ("slope", pa.float64())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges = [[dict(zip(("x", "y1", "y2", "slope"), e)) for e in _edges(r or [])] for r in b["ring"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["region_id"], pa.array(edges, type=pa.list_(edge))], ["region_id", "edges"])
 
     source = regions.where(F.col(region).isNotNull()).select(F.col(region).cast("string").alias("region_id"), F.col(ring).alias("ring"))
-    return source.mapInArrow(build, "region_id string, level int, cx long, cy long, edges array<struct<x:double,y1:double,y2:double,slope:double>>")
+    return source.mapInArrow(build, "region_id string, edges array<struct<x:double,y1:double,y2:double,slope:double>>")
+
 
+def _sized(cells: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The cells, with a broadcast hint if they are proven few, and the levels that occur; one small job for both."""
+    counts = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}  # a row a level
+    return (F.broadcast(cells) if sum(counts.values()) <= SMALL else cells), sorted(counts)
 
-def containing_regions(points: DataFrame, regions: DataFrame, region: str, ring: str, lat: str = "lat", lng: str = "lng", coarsest: int = 11, finest: int = 15) -> DataFrame:
+
+def _odd(x: Column, y: Column) -> Column:
+    """Whether a ray from the point crosses an odd number of the column edges."""
+    crossed = F.filter("edges", lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x"] + (y - e["y1"]) * e["slope"]))
+    return F.size(crossed) % 2 == 1
+
+
+def _level_keys(lat: str, lng: str, levels: list[int]) -> list[Column]:
+    return [F.struct(F.lit(k).alias("level"), F.floor(F.col(lng) / cell_step(k)).alias("cx"), F.floor(F.col(lat) / cell_step(k)).alias("cy")) for k in levels]
+
+
+def containing_regions(points: DataFrame, regions: DataFrame, region: str, ring: str, lat: str = "lat", lng: str = "lng", coarsest: int = 11, finest: int = 17) -> DataFrame:
     """points with region_id, one row for each region whose ring contains the point (even-odd rule, outer ring only).
 
-    An equi-join of cells of every level from coarsest to finest; a hit on an interior cell is accepted as it stands, one
-    on a border cell is tested exactly against the ring's edges. Regions may overlap or lie in each other. Rings may run
-    either way, be open or repeat a vertex; one of under three vertices, or null, contains nothing. Null places match
-    nothing. The coverage is broadcast if it is small, else joined by shuffle.
+    An equi-join of cells of every level that occurs; a hit on an interior cell is accepted as it stands, one on a border
+    cell is tested exactly against the ring's edges. Regions may overlap or lie in each other. Rings may run either way,
+    be open or repeat a vertex; one of under three vertices, or null, contains nothing. Null places match nothing. The
+    coverage is broadcast if it is small, else joined by shuffle.
     """
-    cells = coverage(regions, region, ring, coarsest, finest)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(lng) / cell_step(k)).alias("cx"), F.floor(F.col(lat) / cell_step(k)).alias("cy")) for k in range(coarsest, finest + 1)]))
-    keyed = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumn("_k", keys)
-    cells = cells.select(F.struct("level", "cx", "cy").alias("_c"), "region_id", "edges")
-    hits = keyed.join(broadcast_if_small(cells, SMALL), F.col("_k") == F.col("_c"))
-    y, x = F.col(lat), F.col(lng)
-    crossed = F.filter("edges", lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x"] + (y - e["y1"]) * e["slope"]))
-    return hits.where(F.col("edges").isNull() | (F.size(crossed) % 2 == 1)).select(*points.columns, "region_id")
+    cells, levels = _sized(coverage(regions, region, ring, coarsest, finest))
+    if not levels:
+        return points.withColumn("region_id", F.lit("")).where(F.lit(False))
+    keyed = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumn("_k", F.explode(F.array(*_level_keys(lat, lng, levels))))
+    cells = cells.select(F.struct("level", "cx", "cy").alias("_c"), "region_id", "interior")
+    hits = keyed.join(cells, F.col("_k") == F.col("_c")).join(broadcast_if_small(ring_edges(regions, region, ring), SMALL_RINGS), "region_id")
+    return hits.where(F.col("interior") | _odd(F.col(lng), F.col(lat))).select(*points.columns, "region_id")
+
+
+def regions_and_neighbours(points: DataFrame, regions: DataFrame, region: str, ring: str, others: DataFrame, other: str, radius_m: float, max_abs_lat: float = 80.0, coarsest: int = 11, finest: int = 17) -> DataFrame:
+    """points (with lat and lng) with target_kind and target: a row with 'region' for each region that contains the point
+    and one with 'point' for each other (olat, olng) less than radius_m away. As containing_regions and near_pairs, but in
+    one pass over the points and one join, the grid of the others being one more level of cells (level 0)."""
+    step_lat = radius_m * 1.001 / DEGREE_M
+    step_lng = step_lat / math.cos(math.radians(min(max_abs_lat, 89.0)))
+    cells = coverage(regions, region, ring, coarsest, finest).select("level", "cx", "cy", F.col("region_id").alias("target"), "interior", F.lit(None).cast("double").alias("olat"), F.lit(None).cast("double").alias("olng"))
+    cy, cx = _cells(F.col("olat"), F.col("olng"), step_lat, step_lng)
+    around = F.explode(F.array(*[F.struct((cx + a).alias("cx"), (cy + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    placed_ = others.where(F.col("olat").isNotNull() & F.col("olng").isNotNull()).select(F.col(other).cast("string").alias("target"), "olat", "olng", around.alias("_o"))
+    near = placed_.select(F.lit(0).alias("level"), "_o.cx", "_o.cy", "target", F.lit(False).alias("interior"), "olat", "olng")
+    both, levels = _sized(cells.unionByName(near))
+    keys = _level_keys("lat", "lng", [k for k in levels if k])
+    if 0 in levels:
+        y, x = _cells(F.col("lat"), F.col("lng"), step_lat, step_lng)
+        keys.append(F.struct(F.lit(0).alias("level"), x.alias("cx"), y.alias("cy")))
+    if not keys:
+        return points.withColumns({"target_kind": F.lit(""), "target": F.lit("")}).where(F.lit(False))
+    keyed = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("_k", F.explode(F.array(*keys)))
+    hits = keyed.join(both.select(F.struct("level", "cx", "cy").alias("_c"), "target", "interior", "olat", "olng"), F.col("_k") == F.col("_c"))
+    edges = ring_edges(regions, region, ring).withColumnRenamed("region_id", "target")
+    is_point = F.col("olat").isNotNull()
+    sure = hits.withColumn("_t", F.when(~is_point & ~F.col("interior"), F.col("target"))).join(broadcast_if_small(edges.withColumnRenamed("target", "_t"), SMALL_RINGS), "_t", "left")
+    inside = F.when(is_point, haversine_m(F.col("lat"), F.col("lng"), F.col("olat"), F.col("olng")) < radius_m).otherwise(F.col("interior") | _odd(F.col("lng"), F.col("lat")))
+    return sure.where(inside).select(*points.columns, F.when(is_point, "point").otherwise("region").alias("target_kind"), "target")
 
 
 def area(boxes: list[DataFrame], margin: float = 0.02) -> tuple[float, float, float, float]:

@@ -12,7 +12,7 @@ from wayledger.functions.text import number_key, squash, strip_all
 from wayledger.functions.times import epoch_ms
 from wayledger.operators.instants import EPOCH_MS, ISO_Z, instant_ms, known_zones, unusual_instants, with_feed_rules
 from wayledger.operators.intervals import periods_and_gaps
-from wayledger.operators.places import area, containing_regions, near_pairs, placed
+from wayledger.operators.places import area, placed, regions_and_neighbours
 from wayledger.operators.redelivery import admit_batch, deduplicated, redelivered
 from wayledger.operators.snapshots import snapshot_changes
 from wayledger.session import table
@@ -81,9 +81,9 @@ def _places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     reports, divisions, counts = _places(spark, d)
-    inside = containing_regions(reports, divisions, "ons_code", "coordinates").select("delivery_id", F.lit("division").alias("target_kind"), F.col("region_id").alias("target"))
-    near = near_pairs(reports, counts, 150.0, other=("clat", "clng")).select("delivery_id", F.lit("count_point").alias("target_kind"), "target")
-    return inside.unionByName(near)
+    others = counts.select("target", F.col("clat").alias("olat"), F.col("clng").alias("olng"))
+    found = regions_and_neighbours(reports, divisions, "ons_code", "coordinates", others, "target", 150.0)
+    return found.select("delivery_id", F.when(F.col("target_kind") == "region", "division").otherwise("count_point").alias("target_kind"), "target")
 
 
 def p4_division_counts(spark: SparkSession, d: str) -> DataFrame:
