@@ -42,7 +42,7 @@ def _diff(bucket: pd.DataFrame, snapshots: list[int]) -> pd.DataFrame:
         for kind, rows, value_in in (("added", by[b][~held], snapshots[i]), ("removed", by[a][~still], snapshots[i - 1]), ("changed", by[b][differ], snapshots[i])):
             if len(rows):
                 out.append(pd.DataFrame({"snapshot_no": snapshots[i], "value_no": value_in, "k1": k1[rows], "k2": k2[rows], "change_kind": kind}))
-    return pd.concat(out) if out else pd.DataFrame({"snapshot_no": [], "value_no": [], "k1": [], "k2": [], "change_kind": []})
+    return pd.concat(out) if out else pd.DataFrame({"snapshot_no": no[:0], "value_no": no[:0], "k1": k1[:0], "k2": k2[:0], "change_kind": np.array([], dtype=object)})
 
 
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: str, preferred: str | None = None) -> DataFrame:
