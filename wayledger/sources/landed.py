@@ -156,7 +156,7 @@ def page_details(pages: DataFrame, html: str = "html") -> DataFrame:
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """Articles with front matter: id, title, date, description, tags, image, featured, draft and body; defaults for what
     is missing. Files without front matter are left out."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v")).where(F.col("v").startswith("---\n"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v")).where(F.col("v").startswith("---\n"))
     head = F.regexp_extract("v", r"(?s)^---\n(.*?)\n---", 1)
     t = t.select(F.regexp_replace("file", r"\.md$", "").alias("id"), head.alias("h"), F.trim(F.regexp_replace("v", r"(?s)^---\n.*?\n---\n?", "")).alias("body"))
     field = lambda n: F.nullif(F.regexp_replace(F.trim(F.regexp_extract("h", rf"(?m)^{n}:[ \t]*(.*)$", 1)), "^[\"']|[\"']$", ""), F.lit(""))
