@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,31 @@ SHARD_ITEMS = 20_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 
-def assign(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
-    """Container of each item, none larger than capacity. Items go, largest first, to the container of lowest cost that has
-    room; a new one is opened where none has. As many as the total needs are open from the start.
+def tightest(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container of each item, largest first, each to the fullest one that has room (best fit): how few are enough."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    rooms: list[tuple[int, int]] = []  # room, container; in order
+    n = 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        at = bisect_left(rooms, (size, -1))
+        if at < len(rooms):
+            room, k = rooms.pop(at)
+        else:
+            room, k, n = capacity, n, n + 1
+        insort(rooms, (room - size, k))
+        out[i] = k
+    return out
+
+
+def balanced(sizes: np.ndarray, capacity: int, n: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
+    """Container of each item: largest first, each to the container of lowest cost that has room, of n that are open from
+    the start; a new one is opened where none has room.
 
     Containers without room for the item at hand wait by their room until the items have become small enough, so that
     every item is placed in logarithmic time.
     """
     out = np.zeros(len(sizes), dtype=np.int64)
-    n = max(1, math.ceil(int(sizes.sum()) / capacity)) if len(sizes) else 0
     ready = [(0.0, k, capacity) for k in range(n)]  # cost, container, room
     waiting: list[tuple[int, int, float]] = []  # -room, container, cost
     for i in np.argsort(-sizes, kind="stable").tolist():
@@ -46,6 +63,21 @@ def assign(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic:
     return out
 
 
+def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container of each item, none larger than capacity: balanced by cost over as few containers as a tight packing
+    takes; the tight packing itself where balance would take more."""
+    if not len(sizes):
+        return np.zeros(0, dtype=np.int64)
+    tight = tightest(sizes, capacity)
+    few = int(tight.max()) + 1
+    least = max(1, math.ceil(int(sizes.sum()) / capacity))
+    for n in sorted({least, min(least + 1, few), few}):
+        even = balanced(sizes, capacity, n)
+        if int(even.max()) + 1 <= n:
+            return even
+    return tight
+
+
 def pack(items: DataFrame, item: str, size: str, containers: dict[str, int], shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(container, sequence_id, item, piece_no, tokens): where each item, or piece of one, goes, for each kind of container.
 

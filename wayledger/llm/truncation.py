@@ -29,6 +29,9 @@ _OPEN = re.compile(r"[\s]*[(\[{\"“‘,;:/&+\-–—]$")
 #: Part of the complete texts that end in a known last word after an unknown one, and weight of any unknown ending.
 TYPO, UNSEEN = 0.002, 0.003
 
+#: Letters of the longest word; its beginnings are counted too.
+WORD = 40
+
 #: Pairs held in a map task's memory before they are passed on.
 MOST_PAIRS = 400_000
 
@@ -49,8 +52,10 @@ def ending(text: str) -> tuple[str, str]:
 
 
 def tokens(text: str) -> list[str]:
-    """Words in lower case with every digit as 0, and the stops of sentences."""
-    return _TOKEN.findall(text.lower().translate(_DIGITS))
+    """Words in lower case with every digit as 0, and the stops of sentences. A run of letters too long for a word goes by
+    its beginning."""
+    out = _TOKEN.findall(text.lower().translate(_DIGITS))
+    return out if max(map(len, out), default=0) <= WORD else [t[:WORD] for t in out]
 
 
 _SCHEMA = pa.schema([("what", pa.string()), ("src", pa.string()), ("row_key", pa.int64()), ("feed", pa.string()), ("len", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("kind", pa.string()), ("mid", pa.int64()), ("fin", pa.int64())])
