@@ -65,13 +65,14 @@ def mix(docs: DataFrame, plan: dict[str, Share], key: str = "doc_id", seed: int
     """(key, source, tokens, repeats): the documents of the mixture and how often each is used.
 
     docs: key, source (as source_key) and tokens. Each document of a source is used as often as the whole part of its
-    epochs; the fractional part is drawn in the order of a seeded hash until the tokens are reached, to within a document.
+    epochs; the fractional part is drawn in the order of a seeded hash until the tokens are reached, the last document
+    being taken if that comes nearer. No document is used more often than its source's max_repeats.
     The order is cut into ranges, whose token sums show in which range the draw ends; only that range is ordered. Sources
     without a target, and documents that aren't used, are left out; null tokens count as 0.
     """
-    rows = [(s, int(p.epochs + 1e-9), max(0.0, p.wanted - int(p.epochs + 1e-9) * p.available)) for s, p in plan.items()]
+    rows = [(s, int(p.epochs + 1e-9), max(0.0, p.wanted - int(p.epochs + 1e-9) * p.available), p.max_repeats) for s, p in plan.items()]
     spark = docs.sparkSession
-    epochs = F.broadcast(spark.createDataFrame(rows or [("", 0, 0.0)], "source string, whole int, part double"))  # a row a target
+    epochs = F.broadcast(spark.createDataFrame(rows or [("", 0, 0.0, 0)], "source string, whole int, part double, most int"))  # a row a target
     own = docs.select(key, "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
     own = own.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.pmod("_h", F.lit(RANGES))).join(epochs, "source")
     sums = own.groupBy("source", "_range").agg(F.sum("tokens").alias("_sum"))
@@ -82,9 +83,9 @@ def mix(docs: DataFrame, plan: dict[str, Share], key: str = "doc_id", seed: int
     whole_range = F.col("_before") + F.col("_in") <= F.col("part")
     at_edge = ~whole_range & (F.col("_before") < F.col("part"))
     running = F.sum("tokens").over(Window.partitionBy("source", "_range").orderBy("_h", key))
-    drawn = placed.where(at_edge).withColumn("_drawn", (F.col("_before") + running <= F.col("part")).cast("int"))
+    drawn = placed.where(at_edge).withColumn("_drawn", (F.col("_before") + running - F.col("tokens") / 2 <= F.col("part")).cast("int"))
     rest = placed.where(~at_edge).withColumn("_drawn", whole_range.cast("int"))
-    used = drawn.unionByName(rest).withColumn("repeats", F.col("whole") + F.col("_drawn")).where("repeats > 0")
+    used = drawn.unionByName(rest).withColumn("repeats", F.least(F.col("whole") + F.col("_drawn"), F.col("most"))).where("repeats > 0")
     return used.select(key, "source", "tokens", "repeats")
 
 
