@@ -24,6 +24,7 @@ from wayledger.session import use_checkpoints
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?]+(?=[\s\"')\]]|$)")
 _DIGITS = str.maketrans("123456789", "000000000")
 _DOTS = re.compile(r"\s*(?:…|\.\.\.)$")
+_ENTITY = re.compile(r"&#?\w{0,8}$")
 _OPEN = re.compile(r"[\s]*[(\[{\"“‘,;:/&+\-–—]$")
 
 #: Part of the complete texts that end in a known last word after an unknown one, and weight of any unknown ending.
@@ -37,14 +38,14 @@ MOST_PAIRS = 400_000
 
 
 def ending(text: str) -> tuple[str, str]:
-    """(kind of ending, text before it). Kinds: stop (a sentence's end), dots, open (a sign that must go on), broken (a
+    """(kind of ending, text before it). Kinds: stop (a sentence's end), dots, open (a sign that must go on, or an unfinished entity), broken (a
     damaged character), blank (white space after a word), word."""
     bare = text.rstrip()
     if bare.endswith("�"):
         return "broken", bare.rstrip("�")
     if m := _DOTS.search(bare):
         return "dots", bare[: m.start()]
-    if _OPEN.search(bare):
+    if _OPEN.search(bare) or _ENTITY.search(bare):
         return "open", bare
     if not bare or not (bare[-1].isalnum()):
         return "stop", bare
@@ -188,9 +189,15 @@ def judged(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFra
     # places where a cut leaves this ending: within longer words, after the word, and after the blank behind it
     known = ends.join(pairs, ["a", "b"], "left").join(longer, ["a", "b"], "left").na.fill(0, ["mid", "fin", "ext"])
     after_word = F.greatest(F.col("mid") + F.col("fin"), F.lit(0))
-    known = known.withColumn("places", F.when(F.col("kind") == "blank", F.col("mid")).otherwise(after_word + F.col("ext")).cast("double")).checkpoint()
-    finals = pairs.groupBy("b").agg(F.sum("fin").alias("fin_b"))
-    known = known.join(finals, "b", "left").na.fill(0, ["fin_b"])
+    known = known.withColumn("places", F.when(F.col("kind") == "blank", F.col("mid")).otherwise(after_word + F.col("ext")).cast("double"))
+    vocabulary = pairs.groupBy("b").agg(F.sum("fin").alias("fin_b"), F.sum(F.col("mid") + F.col("fin")).alias("n_b"))
+    beginnings = vocabulary.where("length(b) > 1").select(starts.alias("b"), F.col("n_b").alias("ext_b"))
+    beginnings = beginnings.join(ends.select("b").distinct(), "b", "left_semi").groupBy("b").agg(F.sum("ext_b").alias("ext_b"))
+    known = known.join(vocabulary, "b", "left").join(beginnings, "b", "left").na.fill(0, ["fin_b", "n_b", "ext_b"])
+    # no word by itself, but the beginning of usual ones: a piece, also where the word before it is new
+    piece = (F.col("kind") != "blank") & (F.col("ext_b") >= 50 * (F.col("n_b") + 1))
+    known = known.withColumn("places", F.col("places") + F.when(piece, 1.0).otherwise(0.0))
+    known = known.checkpoint()
     # endings that no sentence has show how many cuts there are to a place
     running = F.col("mid") + F.col("ext")
     sure = (F.col("fin") == 0) & (running >= 3 * F.col("all")) & (running >= 20)
@@ -201,7 +208,7 @@ def judged(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFra
     lost = known.where("fin > 0 and kind = 'word'").agg(F.sum(F.greatest(F.col("n") - F.col("cuts"), F.lit(0.0))), F.sum("fin")).first()
     lost_rate = F.when(F.col("kind") == "word", F.lit((lost[0] or 0.0) / (lost[1] or 1))).otherwise(F.lit(0.0))
     excess = F.greatest(F.lit(0.0), F.col("n") - F.col("cuts") - 3.0 * F.sqrt("cuts") - 2.0)
-    known = known.withColumn("complete", excess + lost_rate * (F.col("fin") + TYPO * F.col("fin_b")) + UNSEEN)
+    known = known.withColumn("complete", excess + lost_rate * (F.col("fin") + TYPO * F.col("fin_b")) + F.when(piece, UNSEEN / 20).otherwise(UNSEEN))
     words = pairs.agg(F.sum((F.col("mid") + F.col("fin")) * F.length("b") + F.col("mid"))).first()
     all_places = float(words[0] or 0) or 1.0
     texts_n = float(lengths.agg(F.sum("n")).first()[0] or 0) or 1.0
