@@ -75,19 +75,18 @@ def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
     """One row: the sorted values' element number floor(share * n), counted from 0. The order is taken over the distinct
     values with their counts, whose running sum is formed over ranges, so that no task sorts all rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.floor(F.sum("n") * share).alias("at"))
+    at = counts.agg(F.floor(F.sum("n") * share)).first()[0]
     ranged = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
     parts = ranged.groupBy("_p").agg(F.sum("n").alias("_s"))
     before = parts.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_before"))  # a row a range
     run = ranged.join(F.broadcast(before), "_p").withColumn("_upto", F.col("_before") + F.sum("n").over(Window.partitionBy("_p").orderBy("v")))
-    return run.crossJoin(F.broadcast(total)).where("_upto > at").agg(F.min("v").alias("value"))
+    return run.where(F.col("_upto") > F.lit(at)).agg(F.min("v").alias("value"))
 
 
 def share_of_total(df: DataFrame, key: str, weight: str, digits: int = 4) -> DataFrame:
-    """Weight per key and its share of all. The total is one row, joined back."""
-    per = df.groupBy(key).agg(F.sum(weight).alias("weight"))
-    total = per.agg(F.sum("weight").alias("_t"))
-    return per.crossJoin(F.broadcast(total)).select(key, "weight", F.bround(F.try_divide(F.col("weight"), F.col("_t")), digits).alias("share"))
+    """Weight per key and its share of all; the total is a single number."""
+    total = df.agg(F.sum(weight)).first()[0]
+    return df.groupBy(key).agg(F.sum(weight).alias("weight")).withColumn("share", F.bround(F.try_divide(F.col("weight"), F.lit(total)), digits))
 
 
 def freshness(frames: dict[str, tuple[DataFrame, Column]], as_of: Column, stale_hours: float = 6.0) -> DataFrame:

@@ -34,13 +34,14 @@ def active_at_hour(start: str, end: str, hour: int | Column) -> Column:
 
 
 def hourly_counts(df: DataFrame, start: str, end: str) -> DataFrame:
-    """24 rows (hour, n): rows active at each hour. Each row's hours are a range, so it adds 1 where that begins and takes
-    1 where it ends; 24 sums are then run up, and rows aren't multiplied by hours."""
+    """24 rows (hour, n): rows active at each hour. Rows are counted by their range of hours first, and only those few
+    counts are spread over the hours."""
     a, b = F.coalesce(hour_of(start), F.lit(0)), F.coalesce(hour_of(end), F.lit(0))
     first, last = F.when(a == 0, 0).otherwise(a), F.when((a == 0) | (b == 0), 23).otherwise(b)
     shape = df.select(first.alias("f"), last.alias("l")).where("f <= l").groupBy("f", "l").agg(F.count("*").alias("n"))
+    per = shape.select("n", F.explode(F.sequence("f", "l")).alias("hour")).groupBy("hour").agg(F.sum("n").alias("n"))
     hours = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    return hours.join(F.broadcast(shape), (F.col("f") <= F.col("hour")) & (F.col("l") >= F.col("hour")), "left").groupBy("hour").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+    return hours.join(per, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def daily_counts(df: DataFrame, start: str, end: str, first_day: int, days: int, key: str | None = None) -> DataFrame:
@@ -66,11 +67,10 @@ def stacked(daily: DataFrame, key: str, order: list[str]) -> DataFrame:
     return daily.withColumn("_o", F.when(rank == 0, 99).otherwise(rank)).withColumn("upto", F.sum("n").over(w)).drop("_o")
 
 
-def in_ranges(df: DataFrame, day: str, ranges: DataFrame, default: str) -> DataFrame:
-    """df with term: the name of the first of few ranges (ord, name, first_day, last_day) that holds the day."""
-    r = ranges.select(F.collect_list(F.struct("ord", "name", "first_day", "last_day")).alias("_r"))  # a table of terms is one small list
-    hit = F.filter(F.sort_array("_r"), lambda x: F.col(day).between(x["first_day"], x["last_day"]))
-    return df.crossJoin(F.broadcast(r)).withColumn("term", F.coalesce(F.try_element_at(hit, F.lit(1))["name"], F.lit(default))).drop("_r")
+def in_ranges(df: DataFrame, day: str, ranges: list[tuple[str, int, int]], default: str) -> DataFrame:
+    """df with term: the name of the first of the ranges (name, first day, last day), a table of terms, that holds the day."""
+    hit = [F.when(F.col(day).between(a, b), F.lit(name)) for name, a, b in ranges]
+    return df.withColumn("term", F.coalesce(*hit, F.lit(default)))
 
 
 def overlap_pairs(df: DataFrame, key: str, entity: str, start: str, end: str, slab: int = 32) -> DataFrame:
@@ -89,13 +89,13 @@ def overlap_pairs(df: DataFrame, key: str, entity: str, start: str, end: str, sl
     return pairs.where(F.col("aslab") == F.greatest("as0", "bs0")).select(F.col("ae").alias(entity), F.col("ak").alias("a"), F.col("bk").alias("b"))
 
 
-def first_in_interval(df: DataFrame, key: str, start: str, end: str, points: DataFrame, at: str, order: str, also: Column | None = None) -> DataFrame:
+def first_in_interval(df: DataFrame, key: str, start: str, end: str, points: DataFrame, at: str, order: str, also: Column | None = None, slab: int = 64) -> DataFrame:
     """(key, columns of points): for each row the first of the points, by order, that lies between its start and end day.
-    Points are matched by day: each row's days meet the points of that day, if there are many; few points are broadcast."""
-    p = points.withColumn("_d", day_of(at))
-    small = broadcast_if_small(p, 10_000)
-    own = df.select(key, day_of(start).alias("_a"), day_of(end).alias("_b"), *[c for c in df.columns if c not in (key, start, end)]).where("_a is not null and _b is not null")
-    joined = own.join(small, F.col("_d").between(F.col("_a"), F.col("_b")) & (also if also is not None else F.lit(True)))
+    An equi-join of slabs of days with the exact test behind it; points are broadcast if they are few."""
+    p = points.withColumn("_d", day_of(at)).where("_d is not null").withColumn("_slab", F.floor(F.col("_d") / slab))
+    own = df.select(key, day_of(start).alias("_a"), day_of(end).alias("_b"), *[c for c in df.columns if c not in (key, start, end)]).where("_a <= _b")
+    own = own.withColumn("_slab", F.explode(F.sequence(F.floor(F.col("_a") / slab), F.floor(F.col("_b") / slab))))
+    joined = own.join(broadcast_if_small(p, 10_000), "_slab").where(F.col("_d").between(F.col("_a"), F.col("_b")) & (also if also is not None else F.lit(True)))
     best = joined.groupBy(key).agg(F.min_by(F.struct(*points.columns), F.col(order)).alias("_p"))
     return best.select(key, *[F.col(f"_p.{c}").alias(c) for c in points.columns])
 

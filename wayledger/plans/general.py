@@ -34,9 +34,8 @@ def p1_reports(spark: SparkSession, d: str) -> DataFrame:
 def p1_new_batches(spark: SparkSession, d: str) -> DataFrame:
     """What the newest tenth of the batches adds to the identifiers stored from those before."""
     reports = _reports(spark, d).select("delivery_id", "batch_no", "report_no", "updated_at")
-    cut = reports.agg(F.floor(F.max("batch_no") * 0.9).alias("cut"))
-    marked = reports.crossJoin(F.broadcast(cut))  # one row
-    stored, new = marked.where("batch_no <= cut"), marked.where("batch_no > cut")
+    cut = F.lit(reports.agg(F.floor(F.max("batch_no") * 0.9)).first()[0])
+    stored, new = reports.where(F.col("batch_no") <= cut), reports.where(F.col("batch_no") > cut)
     return admit_batch(stored, new, "report_no", "updated_at", "delivery_id").select("delivery_id", "report_no")
 
 

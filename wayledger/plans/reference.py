@@ -18,7 +18,7 @@ from wayledger.session import table, use_checkpoints
 AS_OF_DAY, STAR_DAY = 20513, 10957
 AS_OF_MS = AS_OF_DAY * temporal.DAY
 TOWNS = {"Brookhale": "brookhale", "Penny Moss": "marlbeck", "Rosewick": "rosewick", "Hyndmere": "hyndmere"}
-TERMS = [(1, "Spring term", 20459, 20543), (2, "Summer term", 20556, 20654), (3, "Autumn term", 20332, 20439)]
+TERMS = [("Spring term", 20459, 20543), ("Summer term", 20556, 20654), ("Autumn term", 20332, 20439)]
 #: Share of a day's movement by hour.
 PROFILE = [1, 1, 1, 1, 2, 3, 6, 9, 10, 7, 6, 6, 6, 6, 7, 8, 9, 10, 8, 6, 4, 3, 2, 1]
 KINDS = {"Open": (300.0, 2.0), "Closed": (800.0, 8.0), "Restricted": (500.0, 5.0)}
@@ -61,8 +61,7 @@ def works(spark: SparkSession, d: str) -> DataFrame:
 
 def live(w: DataFrame) -> DataFrame:
     """The rows of the newest snapshot."""
-    newest = w.agg(F.max("snapshot_no").alias("_n"))
-    return w.join(F.broadcast(newest), F.col("snapshot_no") == F.col("_n"), "left_semi")
+    return w.where(F.col("snapshot_no") == F.lit(w.agg(F.max("snapshot_no")).first()[0]))
 
 
 def _days() -> F.Column:
@@ -162,10 +161,9 @@ def svg_paths(spark, d):
 @query
 def operator_league(spark, d):
     w = works(spark, d)
-    newest = w.agg(F.max("snapshot_no").alias("_n"))
-    w = w.crossJoin(F.broadcast(newest))
+    newest = F.lit(w.agg(F.max("snapshot_no")).first()[0])
     over = F.coalesce(F.col("created_ms") > F.col("start_ms"), F.lit(False))
-    return aggregate.league(w, "operator", F.col("snapshot_no") == F.col("_n"), _days(), over, F.col("severity") == "high", "district").orderBy(F.desc("total"), "operator")
+    return aggregate.league(w, "operator", F.col("snapshot_no") == newest, _days(), over, F.col("severity") == "high", "district").orderBy(F.desc("total"), "operator")
 
 
 @query
@@ -223,8 +221,7 @@ def longest_running(spark, d):
 def overdue(spark, d):
     """The 30 longest overdue works and the true count of all."""
     w = live(works(spark, d)).where(F.col("end_ms") < AS_OF_MS).withColumn("days_overdue", floor_days(F.lit(AS_OF_MS / 1000), F.col("end_ms") / 1000))
-    n = w.agg(F.count("*").alias("overdue_count"))
-    return rank.top_n(w, 30, [F.desc("days_overdue"), F.col("id")]).crossJoin(F.broadcast(n)).select("id", "days_overdue", "overdue_count")
+    return rank.top_n(w, 30, [F.desc("days_overdue"), F.col("id")]).select("id", "days_overdue", F.lit(w.count()).cast("long").alias("overdue_count"))
 
 
 @query
@@ -269,10 +266,10 @@ def worst_by_road(spark, d):
 @query
 def headline(spark, d):
     w, r = works(spark, d), table(spark, d, "fixmystreet")
+    b = r.agg(F.count("*"), F.count_if(F.col("status") == "open")).first()
+    c = table(spark, d, "count_points").count()
     a = w.agg(F.count("*").alias("works"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if("urgent").alias("urgent"))
-    b = r.agg(F.count("*").alias("reports"), F.count_if(F.col("status") == "open").alias("open_reports"))
-    c = table(spark, d, "count_points").agg(F.count("*").alias("counters"))
-    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
+    return a.withColumns({"reports": F.lit(b[0]).cast("long"), "open_reports": F.lit(b[1]).cast("long"), "counters": F.lit(c).cast("long")})
 
 
 @query
@@ -415,14 +412,10 @@ def stacked_90d(spark, d):
     return temporal.stacked(temporal.daily_counts(w, "start_ms", "end_ms", AS_OF_DAY - 89, 90, "severity"), "severity", ["high", "medium", "low", "unknown"])
 
 
-def _terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, "ord int, name string, first_day long, last_day long")
-
-
 @query
 def term_lookup(spark, d):
     w = works(spark, d).select("id", temporal.day_of("start_ms").alias("day"))
-    return temporal.in_ranges(w, "day", _terms(spark), "School holiday").select("id", "term")
+    return temporal.in_ranges(w, "day", TERMS, "School holiday").select("id", "term")
 
 
 @query
