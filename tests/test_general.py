@@ -106,7 +106,7 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize("slab", [7, 100, 10_000])
+@pytest.mark.parametrize("slab", [3, 7, 100, 10_000])
 def test_periods_brute_force(spark, slab):
     rng = random.Random(slab)
     rows = [(rng.choice([None, "hot", "hot", "hot", "x", "y"]), a := rng.choice([None, rng.randrange(-300, 900)]), None if a is None or rng.random() < 0.05 else a + rng.choice([-3, 0, 1, 2, 5, 20, 200])) for _ in range(400)]
@@ -115,6 +115,13 @@ def test_periods_brute_force(spark, slab):
     assert len(got) == len(set(got)) and set(got) == brute_spans(rows)
 
 
+def test_far_ends_stay_small(spark):
+    far = 253_402_300_799_000  # the end of the year 9999
+    rows = [("r", 0, 1000), ("r", 5000, far), ("r", 6000, 7000), ("r", far + 10, far + 20), ("q", -far, far)]
+    got = {tuple(x) for x in periods_and_gaps(spark.createDataFrame(rows, "road string, a long, b long"), "road", "a", "b", slab_ms=1000).collect()}
+    assert got == brute_spans(rows)
+
+
 def test_periods_of_nothing(spark):
     assert periods_and_gaps(spark.createDataFrame([], "road string, a long, b long"), "road", "a", "b").count() == 0
 

@@ -85,3 +85,12 @@ def test_query_edges(spark):
     nine, ten = ms(datetime(2025, 7, 1, 9, tzinfo=UTC)), ms(datetime(2025, 7, 1, 10, tzinfo=UTC))
     assert got == [(1, nine), (1, nine), (2, ten), (3, ten)]
     assert unusual_instants(df.limit(0), feeds.limit(0), "k", {"v": ISO_Z}).count() == 0
+
+
+def test_zone_tables(spark, small):
+    from wayledger.plans.general import p5_forms, p5_zones
+
+    zones = p5_zones(spark, small).collect()
+    assert {r.zone_name for r in zones} == set(ZONES) and all(r.tz_version for r in zones)
+    assert any(r.from_utc_s == ms(datetime(2025, 3, 30, 1, tzinfo=UTC)) // 1000 and r.offset_s == 3600 for r in zones)
+    assert all(r.none >= 0 and r.usual > r.other_form > 0 for r in p5_forms(spark, small).collect())

@@ -109,6 +109,19 @@ def middle(path: Column | str) -> Column:
     return F.try_element_at(p, (F.floor(F.size(p) / 2) + 1).cast("int"))
 
 
+def mean_vertex(path: Column | str, digits: int = 6) -> Column:
+    """Mean of a path's vertices, [first, second], to so many digits; null for an empty one or with a null vertex."""
+    p = _c(path)
+    mean = lambda k: F.bround(F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, v: a + v[k]), F.size(p)), digits)
+    return F.when(F.size(p) > 0, F.array(mean(0), mean(1)))
+
+
+def focus_window(west: Column, east: Column, south: Column, north: Column, margin: float = 0.1) -> Column:
+    """A box widened on each side by a part of its width and height."""
+    dx, dy = (east - west) * margin, (north - south) * margin
+    return F.struct((west - dx).alias("west"), (east + dx).alias("east"), (south - dy).alias("south"), (north + dy).alias("north"))
+
+
 def word_count(text: Column | str) -> Column:
     return F.size(F.filter(F.split(F.coalesce(_c(text), F.lit("")), r"\s+"), lambda w: w != ""))
 

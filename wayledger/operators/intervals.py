@@ -95,29 +95,46 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(rows, schema.names, schema)
 
 
-def periods_and_gaps(df: DataFrame, entity: str, from_ms: str, to_ms: str, slab_ms: int = 64 * DAY_MS) -> DataFrame:
+def _islands(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(entity, lo, hi): the unions of an entity's intervals that overlap or touch; few rows an entity."""
+    w = Window.partitionBy("entity").orderBy(lo, hi)
+    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = df.withColumn("_new", F.coalesce((reach < F.col(lo)).cast("int"), F.lit(1)))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("entity", "_run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_run")
+
+
+def periods_and_gaps(df: DataFrame, entity: str, from_ms: str, to_ms: str, slab_ms: int = 64 * DAY_MS, long_slabs: int = 16) -> DataFrame:
     """(entity, span_kind, from_ms, to_ms): the continuous `period`s of each entity and the `gap`s between neighbouring ones.
 
     Rows with a null entity or bound, or whose end isn't after their start, are left out; touching intervals are
     continuous; repeated rows change nothing; an empty table gives an empty result. An entity with one period has no gap.
-    An interval over n slabs is carried as n pieces, so slab_ms should be well above the usual length.
+
+    An interval over up to long_slabs slabs is cut into a piece for each. Of a longer one, such as one with an open end
+    that is written as a far year, only the first and the last piece are cut; the slabs between are kept as one range,
+    ranges are merged per entity, and what lies in a slab within a range is dropped, as it changes nothing.
     """
     rows = df.select(F.col(entity).cast("string").alias("entity"), F.col(from_ms).cast("long").alias("a"), F.col(to_ms).cast("long").alias("b"))
-    rows = rows.where("entity is not null and a < b").distinct()
     slab = F.lit(slab_ms).cast("long")
-    cut = rows.select("entity", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / slab), F.floor((F.col("b") - 1) / slab))).alias("slab"))
+    rows = rows.where("entity is not null and a < b").distinct().withColumns({"s0": F.floor(F.col("a") / slab), "s1": F.floor((F.col("b") - 1) / slab)})
+    short = F.col("s1") - F.col("s0") <= long_slabs
+    slabs = F.when(short, F.sequence("s0", F.when(short, F.col("s1")).otherwise(F.col("s0")))).otherwise(F.array("s0", "s1"))
+    cut = rows.select("entity", "a", "b", F.explode(slabs).alias("slab"))
     cut = cut.select("entity", "slab", F.greatest("a", F.col("slab") * slab).alias("from_ms"), F.least("b", (F.col("slab") + 1) * slab).alias("to_ms"))
-    pre = cut.mapInArrow(_premerge, _PIECES)
-    merged = pre.repartition("entity", "slab").sortWithinPartitions("entity", "slab").mapInArrow(_merge, "entity string, slab long, kind string, from_ms long, to_ms long")
+    merged = cut.mapInArrow(_premerge, _PIECES).repartition("entity", "slab").sortWithinPartitions("entity", "slab").mapInArrow(_merge, "entity string, slab long, kind string, from_ms long, to_ms long")
+    # ranges of slabs that are covered from end to end; pieces of a length in slabs, so merged within the map tasks first
+    ranges = rows.where(~short).select("entity", F.lit(0).cast("long").alias("slab"), (F.col("s0") + 1).alias("from_ms"), F.col("s1").alias("to_ms"))
+    ranges = _islands(ranges.mapInArrow(_premerge, _PIECES).select("entity", "from_ms", "to_ms"), "from_ms", "to_ms")
+    spans = ranges.select(F.col("entity").alias("_e"), F.col("from_ms").alias("_lo"), F.col("to_ms").alias("_hi"))
+    merged = merged.join(spans, (F.col("entity") == F.col("_e")) & (F.col("slab") >= F.col("_lo")) & (F.col("slab") < F.col("_hi")), "left_anti")
+    covered = ranges.select("entity", (F.col("from_ms") * slab).alias("from_ms"), (F.col("to_ms") * slab).alias("to_ms"))
     at_edge = (F.col("from_ms") == F.col("slab") * slab) | (F.col("to_ms") == (F.col("slab") + 1) * slab)
     inner = merged.where((F.col("kind") == "gap") | ((F.col("kind") == "piece") & ~at_edge)).select("entity", F.when(F.col("kind") == "gap", "gap").otherwise("period").alias("span_kind"), "from_ms", "to_ms")
     # two edge pieces and one reach at most for each entity and slab
+    edge = merged.where((F.col("kind") == "piece") & at_edge).select("entity", "from_ms", "to_ms").unionByName(covered)
+    joined = _islands(edge, "from_ms", "to_ms").select("entity", F.lit("period").alias("span_kind"), "from_ms", "to_ms")
     w = Window.partitionBy("entity").orderBy("from_ms")
-    edge = merged.where((F.col("kind") == "piece") & at_edge).select("entity", "from_ms", "to_ms")
-    edge = edge.withColumn("_new", F.coalesce((F.lag("to_ms").over(w) < F.col("from_ms")).cast("int"), F.lit(1)))
-    edge = edge.withColumn("_run", F.sum("_new").over(w))
-    joined = edge.groupBy("entity", "_run").agg(F.min("from_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
-    joined = joined.select("entity", F.lit("period").alias("span_kind"), "from_ms", "to_ms")
-    reach = merged.where("kind = 'reach'").select("entity", F.lag("to_ms").over(w).alias("g"), F.col("from_ms").alias("h"))
+    reach = merged.where("kind = 'reach'").select("entity", "from_ms", "to_ms").unionByName(covered)
+    reach = reach.select("entity", F.lag("to_ms").over(w).alias("g"), F.col("from_ms").alias("h"))
     between = reach.where("g < h").select("entity", F.lit("gap").alias("span_kind"), F.col("g").alias("from_ms"), F.col("h").alias("to_ms"))
     return inner.unionByName(joined).unionByName(between)

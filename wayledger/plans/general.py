@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayledger.functions.geo import coordinate
 from wayledger.functions.text import number_key, squash, strip_all
 from wayledger.functions.times import epoch_ms
+from wayledger.functions.zones import transitions, zone_version
 from wayledger.operators.instants import EPOCH_MS, ISO_Z, instant_ms, known_zones, unusual_instants, with_feed_rules
 from wayledger.operators.intervals import periods_and_gaps
 from wayledger.operators.places import area, placed, regions_and_neighbours
@@ -96,6 +97,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return works.unionByName(reports)
 
 
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Per field: values, those in the usual form, those read from another form, and those that denote no instant."""
+    fields = (("roadworks", "validfrom", EPOCH_MS), ("roadworks", "creationtime", EPOCH_MS), ("fixmystreet", "reported", ISO_Z))
+    counts = [table(spark, d, t).agg(F.lit(t).alias("src_table"), F.lit(f).alias("field_name"), F.count(f).alias("in_all"), F.count_if(F.col(f).rlike(usual)).alias("usual")) for t, f, usual in fields]
+    found = p5_found(spark, d).groupBy("src_table", "field_name").agg(F.count("*").alias("other_form"))
+    out = counts[0].unionByName(counts[1]).unionByName(counts[2]).join(found, ["src_table", "field_name"], "left").na.fill(0, ["other_form"])
+    return out.withColumn("none", F.col("in_all") - F.col("usual") - F.col("other_form"))
+
+
+def p5_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zone transition tables in use: version, zone, instant of change (null before the first) and offset in seconds."""
+    names = [r[0] for r in table(spark, d, "feeds").select("zone_name").where("zone_name is not null").distinct().limit(2000).collect()]
+    rows = [(zone_version(), n, None if i == 0 else int(at[i - 1]), int(o)) for n in sorted(names) for at, offsets in [transitions(n)] for i, o in enumerate(offsets)]
+    return spark.createDataFrame(rows, "tz_version string, zone_name string, from_utc_s long, offset_s long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_reports, p1_new_batches, p2_found, p2_change_counts, p3_found, p3_layer_spans, p4_found, p4_division_counts, p5_found)
+    f.__name__: f for f in (p1_found, p1_reports, p1_new_batches, p2_found, p2_change_counts, p3_found, p3_layer_spans, p4_found, p4_division_counts, p5_found, p5_forms, p5_zones)
 }

@@ -147,6 +147,16 @@ def layer_places(spark, d):
     return c.select("ons_code", rules.middle("coordinates")[0].alias("lng"), rules.middle("coordinates")[1].alias("lat"), F.size("coordinates").cast("long").alias("vertices"))
 
 
+@query
+def ring_means(spark, d):
+    """Mean vertices of the rings, and the window around each."""
+    c = table(spark, d, "burnley_ceds")
+    side = lambda k, f: f(F.transform("coordinates", lambda v: v[k]))
+    w = rules.focus_window(side(0, F.array_min), side(0, F.array_max), side(1, F.array_min), side(1, F.array_max))
+    m = rules.mean_vertex("coordinates", 4)
+    return c.select("ons_code", m[0].alias("lng"), m[1].alias("lat"), F.round(w["west"], 6).alias("west"), F.round(w["north"], 6).alias("north"))
+
+
 @query
 def svg_paths(spark, d):
     """Rings as drawing paths: a linear map of the area to 100 x 100."""

@@ -72,6 +72,8 @@ SQL = {
     "days_between": "select row_id, cast(floor((epoch_ms(end_date) // 1000 - epoch_ms(start_date) // 1000) / 86400.0) as bigint) as floor_days, cast(coalesce(greatest(date_diff('day', start_date, end_date), 1), 0) as bigint) as calendar_days from road_status where start_date is not null",
     "not_finished": f"{W} select id, road from works where end_ms is null or floor(end_ms / {_DAY}.0) >= {_AS_OF}",
     "layer_places": "select ons_code, coordinates[len(coordinates) // 2 + 1][1] as lng, coordinates[len(coordinates) // 2 + 1][2] as lat, len(coordinates) as vertices from burnley_ceds",
+    "ring_means": """with t as (select ons_code, [v[1] for v in coordinates] as x, [v[2] for v in coordinates] as y from burnley_ceds)
+      select ons_code, round_even(list_sum(x) / len(x), 4) as lng, round_even(list_sum(y) / len(y), 4) as lat, round(list_min(x) - (list_max(x) - list_min(x)) * 0.1::double, 6) as west, round(list_max(y) + (list_max(y) - list_min(y)) * 0.1::double, 6) as north from t""",
     "svg_paths": "select ons_code, 'M' || array_to_string([cast(cast(round((v[1] + 2.0::double) * 100.0::double) as int) as varchar) || ',' || cast(cast(round((53.5::double - v[2]) * 100.0::double) as int) as varchar) for v in coordinates], ' L') || 'Z' as path from burnley_ceds",
     "operator_league": f"""{W}, w as (select *, snapshot_no = (select max(snapshot_no) from works) as act, {_FDAYS} as days, coalesce(created_ms > start_ms, false) as ov from works)
       select operator, count(*) filter (act) as active, count(*) filter (not act) as completed, count(*) as total, round_even(avg(cast(days as double)) filter (days > 0), 1) as avg_days,
