@@ -87,7 +87,8 @@ women and disabled people find the crossing hard | old people are afraid to walk
 
 #: Sentences whose kernel, divided by their lengths, is above this are taken for wordings of the same statement.
 ALIKE = 0.55
-#: Sentences that stand in harmless documents only, of which at most so many are drawn for the fit.
+#: Sentences that stand in harmless documents only, of which at most so many are taken for the fit: the most
+#: frequent half of them, and as many drawn from the rest.
 MOST_BESIDE = 8_000
 
 
@@ -135,8 +136,10 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5, rounds: int = 5) -> Ma
     suspect = sorted(in_plus)
     some = lambda x, n: [x[i] for i in sorted(rng.choice(len(x), min(n, len(x)), replace=False))] if x else []
     only = sorted(s for s in in_minus if s not in in_plus)
-    pool = some(only, MOST_BESIDE)
-    part = len(only) / max(1, len(pool))
+    often = sorted(only, key=lambda s: (-in_minus[s], s))[: MOST_BESIDE // 2]
+    others = sorted(set(only) - set(often))
+    drawn = some(others, MOST_BESIDE // 2)
+    pool, part = often + drawn, [1.0] * len(often) + [len(others) / max(1, len(drawn))] * len(drawn)
     share = max(1, sum(1 for _, y in bags if not y)) / max(1, sum(y for _, y in bags))
     fresh = [s for s in suspect if in_plus[s] * share > 4 * in_minus[s]]
     landmarks, root = nystroem(list(dict.fromkeys([*plus, *minus, *some(fresh, 2 * LANDMARKS), *some(pool, LANDMARKS)])))
@@ -147,7 +150,7 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5, rounds: int = 5) -> Ma
     held = [[index[s] for s in own] for own, y in bags if y]
     if 0 < len(held) < len(bags):
         place = {index[s]: k for k, s in enumerate(suspect)}
-        counts = np.array([in_minus[s] * part for s in pool], dtype=np.float32)
+        counts = np.array([in_minus[s] * p for s, p in zip(pool, part)], dtype=np.float32)
         own = np.array([in_minus[s] for s in suspect], dtype=np.float32)
         lift[list(place)] = _lift(suspect, [[place[i] for i in ids] for ids in held], own, pool, counts, len(held), len(bags) - len(held))
     anchors = [index[s] for s in plus], [index[s] for s in minus]
