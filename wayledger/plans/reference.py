@@ -257,7 +257,7 @@ def place_bounds(spark, d):
 
 
 @query
-def p95_nearest_rank(spark, d):
+def nearest_rank_95(spark, d):
     w = works(spark, d).where("end_ms is not null")
     return aggregate.nearest_rank(w.select(temporal.day_of("end_ms").alias("day")), "day", 0.95)
 

@@ -97,7 +97,7 @@ SQL = {
     "argmax_latest": "select o_custkey, o_orderkey, epoch_ms(o_orderdate) // 1000 as at from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn = 1",
     "busiest_counter_by_road": "select road_name, count_point_id, all_motor_vehicles from (select *, row_number() over (partition by road_name order by all_motor_vehicles desc, count_point_id) as rn from count_points where all_motor_vehicles is not null) where rn = 1 order by all_motor_vehicles desc, road_name limit 20",
     "place_bounds": "select min(lat) as south, max(lat) as north, min(lng) as west, max(lng) as east, count(*) as n from road_status where lat <> 0 and lng <> 0",
-    "p95_nearest_rank": f"{W}, t as (select cast(floor(end_ms / {_DAY}.0) as bigint) as v from works where end_ms is not null), r as (select v, row_number() over (order by v) - 1 as k from t) select v as value from r where k = (select cast(floor(count(*) * 0.95::double) as bigint) from t)",
+    "nearest_rank_95": f"{W}, t as (select cast(floor(end_ms / {_DAY}.0) as bigint) as v from works where end_ms is not null), r as (select v, row_number() over (order by v) - 1 as k from t) select v as value from r where k = (select cast(floor(count(*) * 0.95::double) as bigint) from t)",
     "size_histogram": "select trim(regexp_replace(p_type, 'brushed', '', 'gi'), ' ') as zone, count(*) as n from part group by all",
     "worst_by_road": f"{W} select road, bool_or(lower(restrictions) like '%closed%') as any_full, bool_or(lower(restrictions) like '%lane%') as any_lane, count(*) as n from live group by road",
     "headline": f"{W} select count(*) as works, count(*) filter (severity = 'high') as high, count(*) filter (urgent) as urgent, (select count(*) from fixmystreet) as reports, (select count(*) from fixmystreet where status = 'open') as open_reports, (select count(*) from count_points) as counters from works",
