@@ -33,6 +33,7 @@ def falsy_default(c: Column | str, default: object) -> Column:
 def number_key(c: Column | str) -> Column:
     """A whole number's digits, however it is written: with blanks, a leading mark, leading zeros, thousands separators,
     a decimal part of zeros or an exponent. Null where there is no number."""
+    c = F.col(c) if isinstance(c, str) else c
     s = F.regexp_replace(strip_all(c), "[^0-9.,eE+]", "")
     s = (
         F.when(s.rlike(r"^[0-9]+(\.[0-9]+)?[eE]\+?[0-9]{1,2}$"), F.format_string("%.0f", s.try_cast("double")))
@@ -40,7 +41,8 @@ def number_key(c: Column | str) -> Column:
         .otherwise(F.regexp_replace(s, r"[.][0-9]*$", ""))
     )
     digits = F.regexp_replace(s, "[^0-9]", "")
-    return F.when(digits != "", F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0")))
+    general = F.when(digits != "", F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0")))
+    return F.when(c.rlike("^[1-9][0-9]*$"), c).otherwise(general)  # most need no more
 
 
 def source_key(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayledger.functions.geo import coordinate
-from wayledger.functions.text import number_key, squash, strip_all
+from wayledger.functions.text import number_key, settled, squash, strip_all
 from wayledger.functions.times import epoch_ms
 from wayledger.functions.zones import transitions, zone_version
 from wayledger.operators.instants import EPOCH_MS, ISO_Z, instant_ms, known_zones, unusual_instants, with_feed_rules
@@ -20,7 +20,7 @@ from wayledger.session import table
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "fixmystreet").withColumns({"report_no": number_key("id"), "updated_at": F.trim("updated").try_cast("timestamp")})
+    return settled(table(spark, d, "fixmystreet"), {"report_no": number_key("id"), "updated_at": F.trim("updated").try_cast("timestamp")})
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
