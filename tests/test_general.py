@@ -39,7 +39,7 @@ def test_redelivered_brute_force(spark):
 
 def test_admit_batch(spark):
     stored = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
-    batch = spark.createDataFrame([(1, "a", 5), (2, "b", 1), (3, "b", 2), (4, None, 1), (5, None, 1)], "d long, k string, u long")
+    batch = spark.createDataFrame([(1, "a", 5), (2, "b", 1), (3, "b", 2), (4, None, 1), (5, None, 1)], "d long, k string, u long").withColumn("_rank", F.lit(1))
     assert sorted(r.d for r in admit_batch(stored, batch, "k", "u", "d").collect()) == [3, 4, 5]
     assert admit_batch(stored, batch.limit(0), "k", "u", "d").count() == 0
 
@@ -165,7 +165,8 @@ def test_regions_and_neighbours_brute_force(spark):
 
     rng = random.Random(6)
     points = [(i, rng.uniform(52.95, 53.25), rng.uniform(-1.65, -1.25)) for i in range(300)] + [(900, None, -1.5), (901, 53.0, None)]
-    df = spark.createDataFrame(points, "delivery_id long, lat double, lng double").withColumn("level", F.lit("clash"))
+    df = spark.createDataFrame(points, "delivery_id long, lat double, lng double")
+    df = df.withColumns({c: F.lit("clash") for c in ("level", "region_id", "target", "interior", "edges", "cx")})
     rings = {"sq": SQUARE, "in": INNER, "ell": ELL}
     regions = spark.createDataFrame([*rings.items(), ("none", None), ("thin", [[0.0, 0.0], [1.0, 1.0]]), (None, SQUARE)], "name string, ring array<array<double>>")
     others = [(i, rng.uniform(52.95, 53.25), rng.uniform(-1.65, -1.25)) for i in range(60)] + [(99, None, None)]
@@ -181,6 +182,6 @@ def test_regions_and_neighbours_brute_force(spark):
     near = {(i, "point", str(j)) for i, y, x in points if y is not None and x is not None for j, b, a in others if b is not None and far(y, x, b, a) < 3000}
     got = {(r.delivery_id, r.target_kind, r.target) for r in regions_and_neighbours(df, regions, "name", "ring", odf, "target", 3000.0).collect()}
     assert got == want | near
-    assert {(r.delivery_id, "point", str(r.target)) for r in near_pairs(df, odf, 3000.0, other=("olat", "olng")).collect()} == near
+    assert {(r.delivery_id, "point", str(r.target)) for r in near_pairs(df.drop("target"), odf, 3000.0, other=("olat", "olng")).collect()} == near
     assert regions_and_neighbours(df.limit(0), regions, "name", "ring", odf, "target", 3000.0).count() == 0
     assert regions_and_neighbours(df, regions.limit(0), "name", "ring", odf.limit(0), "target", 3000.0).count() == 0

@@ -149,8 +149,8 @@ def _sized(cells: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def _odd(x: Column, y: Column) -> Column:
-    """Whether a ray from the point crosses an odd number of the column edges."""
-    crossed = F.filter("edges", lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x"] + (y - e["y1"]) * e["slope"]))
+    """Whether a ray from the point crosses an odd number of the column _edges."""
+    crossed = F.filter("_edges", lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x"] + (y - e["y1"]) * e["slope"]))
     return F.size(crossed) % 2 == 1
 
 
@@ -164,15 +164,17 @@ def containing_regions(points: DataFrame, regions: DataFrame, region: str, ring:
     An equi-join of cells of every level that occurs; a hit on an interior cell is accepted as it stands, one on a border
     cell is tested exactly against the ring's edges. Regions may overlap or lie in each other. Rings may run either way,
     be open or repeat a vertex; one of under three vertices, or null, contains nothing. Null places match nothing. The
-    coverage is broadcast if it is small, else joined by shuffle.
+    coverage is broadcast if it is small, else joined by shuffle. A column region_id of the points is replaced.
     """
     cells, levels = _sized(coverage(regions, region, ring, coarsest, finest))
+    own = [c for c in points.columns if c != "region_id"]
     if not levels:
-        return points.withColumn("region_id", F.lit("")).where(F.lit(False))
-    keyed = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumn("_k", F.explode(F.array(*_level_keys(lat, lng, levels))))
-    cells = cells.select(F.struct("level", "cx", "cy").alias("_c"), "region_id", "interior")
-    hits = keyed.join(cells, F.col("_k") == F.col("_c")).join(broadcast_if_small(ring_edges(regions, region, ring), SMALL_RINGS), "region_id")
-    return hits.where(F.col("interior") | _odd(F.col(lng), F.col(lat))).select(*points.columns, "region_id")
+        return points.select(*own, F.lit("").alias("region_id")).where(F.lit(False))
+    keyed = points.select(*own).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumn("_k", F.explode(F.array(*_level_keys(lat, lng, levels))))
+    cells = cells.select(F.struct("level", "cx", "cy").alias("_c"), F.col("region_id").alias("_region"), F.col("interior").alias("_interior"))
+    edges = ring_edges(regions, region, ring).select(F.col("region_id").alias("_region"), F.col("edges").alias("_edges"))
+    hits = keyed.join(cells, F.col("_k") == F.col("_c")).join(broadcast_if_small(edges, SMALL_RINGS), "_region")
+    return hits.where(F.col("_interior") | _odd(F.col(lng), F.col(lat))).select(*own, F.col("_region").alias("region_id"))
 
 
 def regions_and_neighbours(points: DataFrame, regions: DataFrame, region: str, ring: str, others: DataFrame, other: str, radius_m: float, max_abs_lat: float = 80.0, coarsest: int = 11, finest: int = 17) -> DataFrame:
@@ -193,13 +195,15 @@ def regions_and_neighbours(points: DataFrame, regions: DataFrame, region: str, r
         keys.append(F.struct(F.lit(0).alias("level"), x.alias("cx"), y.alias("cy")))
     if not keys:
         return points.withColumns({"target_kind": F.lit(""), "target": F.lit("")}).where(F.lit(False))
-    keyed = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("_k", F.explode(F.array(*keys)))
-    hits = keyed.join(both.select(F.struct("level", "cx", "cy").alias("_c"), "target", "interior", "olat", "olng"), F.col("_k") == F.col("_c"))
-    edges = ring_edges(regions, region, ring).withColumnRenamed("region_id", "target")
-    is_point = F.col("olat").isNotNull()
-    sure = hits.withColumn("_t", F.when(~is_point & ~F.col("interior"), F.col("target"))).join(broadcast_if_small(edges.withColumnRenamed("target", "_t"), SMALL_RINGS), "_t", "left")
-    inside = F.when(is_point, haversine_m(F.col("lat"), F.col("lng"), F.col("olat"), F.col("olng")) < radius_m).otherwise(F.col("interior") | _odd(F.col("lng"), F.col("lat")))
-    return sure.where(inside).select(*points.columns, F.when(is_point, "point").otherwise("region").alias("target_kind"), "target")
+    own = [c for c in points.columns if c not in ("target_kind", "target")]
+    keyed = points.select(*own).where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("_k", F.explode(F.array(*keys)))
+    names = ("target", "interior", "olat", "olng")
+    hits = keyed.join(both.select(F.struct("level", "cx", "cy").alias("_c"), *[F.col(c).alias(f"_{c}") for c in names]), F.col("_k") == F.col("_c"))
+    edges = ring_edges(regions, region, ring).select(F.col("region_id").alias("_t"), F.col("edges").alias("_edges"))
+    is_point = F.col("_olat").isNotNull()
+    sure = hits.withColumn("_t", F.when(~is_point & ~F.col("_interior"), F.col("_target"))).join(broadcast_if_small(edges, SMALL_RINGS), "_t", "left")
+    inside = F.when(is_point, haversine_m(F.col("lat"), F.col("lng"), F.col("_olat"), F.col("_olng")) < radius_m).otherwise(F.col("_interior") | _odd(F.col("lng"), F.col("lat")))
+    return sure.where(inside).select(*own, F.when(is_point, "point").otherwise("region").alias("target_kind"), F.col("_target").alias("target"))
 
 
 def area(boxes: list[DataFrame], margin: float = 0.02) -> tuple[float, float, float, float]:

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_RANK = "_wayledger_rank"
+
+
 def ranked_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key, the first in the given order; rows with a null key are left out. order must end in a unique
     column. As only rank 1 is asked for, Spark ranks within each map task before the shuffle too (WindowGroupLimit), so a
     key that holds a third of all rows sends one row per task."""
     w = Window.partitionBy(key).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return df.where(F.col(key).isNotNull()).withColumn(_RANK, F.row_number().over(w)).where(F.col(_RANK) == 1).drop(_RANK)
 
 
 def newest_order(updated: str, delivery: str) -> list[Column]:
