@@ -105,3 +105,9 @@ def test_greedy_clusters_brute_force(spark, least):
 def test_argmax_ties(spark):
     df = spark.createDataFrame([("a", 5, 2), ("a", 5, 1), ("a", None, 0), ("b", None, 3)], "k string, v long, id long")
     assert [(r.k, r.id) for r in aggregate.arg_max(df, "k", "v", "id").collect()] == [("a", 1)]
+
+
+def test_components_of_a_long_chain(spark):
+    df = spark.createDataFrame([((i * 37) % 101, 53.0 + i * 0.001, -1.5) for i in range(101)] + [(500, 54.0, -1.5)], "id long, lat double, lng double")
+    got = {r.id: r.component for r in cluster.components(df, "id", 120.0).collect()}
+    assert {v for k, v in got.items() if k != 500} == {0} and got[500] == 500

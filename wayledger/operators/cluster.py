@@ -15,7 +15,7 @@ from wayledger.operators.places import near_pairs
 from wayledger.session import use_checkpoints
 
 
-def components(points: DataFrame, key: str, radius_m: float, rounds: int = 30) -> DataFrame:
+def components(points: DataFrame, key: str, radius_m: float, rounds: int = 200) -> DataFrame:
     """(key, component): the smallest key that each point is joined to by steps shorter than the radius. Labels are
     passed to neighbours and then shortened by their own labels, until nothing changes; each round is checkpointed."""
     use_checkpoints(points.sparkSession)
@@ -31,8 +31,8 @@ def components(points: DataFrame, key: str, radius_m: float, rounds: int = 30) -
         changed = new.join(label.withColumnRenamed("component", "_old"), key).where("component <> _old").limit(1).count()
         label = new
         if not changed:
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def _metres(lat: float, lng: float, lats: np.ndarray, lngs: np.ndarray) -> np.ndarray:

@@ -158,7 +158,7 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     is missing. Files without front matter are left out."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v")).where(F.col("v").startswith("---\n"))
     head = F.regexp_extract("v", r"(?s)^---\n(.*?)\n---", 1)
-    t = t.select(F.regexp_replace("file", r"\.md$", "").alias("id"), head.alias("h"), F.trim(F.regexp_replace("v", r"(?s)^---\n.*?\n---\n?", "")).alias("body"))
+    t = t.select(F.regexp_replace("file", r"\.md$", "").alias("id"), head.alias("h"), F.regexp_replace("v", r"(?s)^---\n.*?\n---\s*|\s+$", "").alias("body"))
     field = lambda n: F.nullif(F.regexp_replace(F.trim(F.regexp_extract("h", rf"(?m)^{n}:[ \t]*(.*)$", 1)), "^[\"']|[\"']$", ""), F.lit(""))
     inline = F.regexp_replace(F.regexp_extract("h", r"(?m)^tags:[ \t]*\[(.*)\]", 1), "[\"']", "")
     block = F.transform(F.regexp_extract_all(F.regexp_extract("h", r"(?m)^tags:[ \t]*\n((?:[ \t]*-[^\n]*\n?)+)", 1), F.lit(r"-[ \t]*([^\n]+)"), 1), lambda x: F.regexp_replace(F.trim(x), "[\"']", ""))
