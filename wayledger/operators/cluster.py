@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 
 from wayledger.functions.geo import EARTH_M
 from wayledger.operators.places import near_pairs
-from wayledger.session import use_checkpoints
+from wayledger.session import stored
 
 
 def components(points: DataFrame, key: str, radius_m: float, rounds: int = 200) -> DataFrame:
     """(key, component): the smallest key that each point is joined to by steps shorter than the radius. Labels are
-    passed to neighbours and then shortened by their own labels, until nothing changes; each round is checkpointed."""
-    use_checkpoints(points.sparkSession)
+    passed to neighbours and then shortened by their own labels, until nothing changes; each round is stored."""
     own = points.select(key, "lat", "lng")
     other = points.select(F.col(key).alias("_n"), F.col("lat").alias("olat"), F.col("lng").alias("olng"))
-    edges = near_pairs(own, other, radius_m, other=("olat", "olng")).where(F.col(key) != F.col("_n")).select(key, "_n").checkpoint()
-    label = points.select(key, F.col(key).alias("component"))
+    edges = near_pairs(own, other, radius_m, other=("olat", "olng")).where(F.col(key) != F.col("_n")).select(key, "_n")
+    edges, label = stored(edges), points.select(key, F.col(key).alias("component"))
     for _ in range(rounds):
         near = edges.join(label.withColumnRenamed(key, "_n"), "_n").groupBy(key).agg(F.min("component").alias("_c"))
         new = label.join(near, key, "left").select(key, F.least("component", F.coalesce("_c", "component")).alias("component"))
         hop = new.select(F.col(key).alias("component"), F.col("component").alias("_up"))
-        new = new.join(hop, "component", "left").select(key, F.least("component", F.coalesce("_up", "component")).alias("component")).checkpoint()
+        new = new.join(hop, "component", "left").select(key, F.least("component", F.coalesce("_up", "component")).alias("component"))
+        new = stored(new)
         changed = new.join(label.withColumnRenamed("component", "_old"), key).where("component <> _old").limit(1).count()
         label = new
         if not changed:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,13 @@ def use_checkpoints(spark: SparkSession) -> None:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it is proven to have at most max_rows rows, else df as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back. Unlike a checkpoint, what the optimizer knows of the old plan is
+    gone too, so that a loop's plans don't grow from round to round."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
