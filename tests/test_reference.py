@@ -39,6 +39,28 @@ def test_same_as_sql(spark, duck, small, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, want.fetchall())
 
 
+def test_snapshot_archive_brute_force(spark, duck, small):
+    """Neighbouring snapshots one after the other, as the archive grows; all of them, not the newest three."""
+    sql = f"{reference_sql.W} select snapshot_no, coalesce(nullif(reference, ''), concat_ws('|', road, operator, coalesce(cast(start_ms as varchar), ''))) as key, min(id) from works where snapshot_no is not null group by all"
+    held = {}
+    for no, key, first in duck.execute(sql).fetchall():
+        held.setdefault(no, {})[key] = first
+    archived, added = set(), set()
+    for no, newer in zip(sorted(held), sorted(held)[1:]):
+        left = set(held[no]) - set(held[newer])
+        added = {(held[no][k], k) for k in left - archived}
+        archived |= left
+    assert len(held) > 3 and added
+    got = [(r.id, r.key) for r in contract.queries()["snapshot_archive"](spark, small).collect()]
+    assert len(got) == len(added) and set(got) == added
+
+
+def test_vanished(spark):
+    rows = [("stays", 3), ("stays", 2), ("stays", 1), ("back", 3), ("back", 1), ("back", 1), ("late", 2), ("late", 2), ("new", 1)]
+    got = [tuple(r) for r in dedupe.vanished(spark.createDataFrame(rows, "key string, age int"), "key", "age").collect()]
+    assert sorted(got) == [("back", 3), ("late", 2)]
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 

@@ -38,6 +38,12 @@ def gone(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti")
 
 
+def vanished(df: DataFrame, key: str, age: str) -> DataFrame:
+    """(key, age), once each: keys of the snapshot of an age (1 is the newest) that the next newer one lacks."""
+    held = df.select(key, age).distinct()
+    return held.where(F.col(age) > 1).join(held.select(key, (F.col(age) + 1).alias(age)), [key, age], "left_anti")
+
+
 def archive_additions(old: DataFrame, new: DataFrame, archive: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """What a snapshot adds to an archive: rows gone since the last one, one a key, that aren't archived yet."""
     return keep_first(gone(gone(old, new, key), archive, key), [key], order)

@@ -326,12 +326,12 @@ def dedupe_preferred(spark, d):
 
 @query
 def snapshot_archive(spark, d):
-    """What each road's register lost from one snapshot to the newest, and isn't archived: works of the snapshots before
-    the last two count as archived."""
+    """What the register lost from the last snapshot but one to the newest, and isn't archived: works count as archived
+    that vanished from any snapshot to the next one before."""
     w = works(spark, d).withColumn("key", dedupe.snapshot_key("reference", ["road", "operator", "start_ms"]))
-    nos = w.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(3).withColumn("age", F.row_number().over(Window.orderBy(F.desc("snapshot_no"))))  # three rows
+    nos = w.where("snapshot_no is not null").select("snapshot_no").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("snapshot_no"))))  # a row a snapshot
     w = w.join(F.broadcast(nos), "snapshot_no")
-    return dedupe.archive_additions(w.where("age = 2"), w.where("age = 1"), w.where("age = 3"), "key", [F.col("id")]).select("id", "key")
+    return dedupe.archive_additions(w.where("age = 2"), w.where("age = 1"), dedupe.vanished(w, "key", "age").where("age >= 3"), "key", [F.col("id")]).select("id", "key")
 
 
 @query
