@@ -262,6 +262,26 @@ def test_sentences_are_put_back():
     assert offence.sentences("") == [] and all(len(s) < 250 for s in offence.sentences("word " * 5000))
 
 
+def test_pieces_of_a_long_run_overlap():
+    rng = random.Random(4)
+    machine = offence.fit([])
+    rude = "go to hell you worthless bastards"
+    for ahead in range(0, 500, 7):
+        run = "the lamp near the chapel is out again and " * 12
+        run = run[: run.rfind(" ", 0, ahead + 1) + 1] + rude + " " + run
+        assert any(rude in s for s in offence.sentences(run)), ahead
+    assert max(machine.scores(offence.sentences(run))) > max(machine.scores(offence.sentences(run.replace(rude, "the sign by the bridge is broken"))))
+    for size, words in ((241, 8), (360, 8), (1000, 12), (3000, 300), (5000, 5000)):
+        run = "".join(rng.choice("bcdfghjklmnp") + ("aeiou"[k % 5]) for k in range(size))[:size]
+        at = 0
+        while (at := at + rng.randint(3, words)) < size - 3:
+            run = run[:at] + " " + run[at + 1 :]
+            at += 1
+        pieces = offence.sentences(run)
+        assert all(any(run[i : i + offence.STATEMENT].strip() in p for p in pieces) for i in range(size))
+        assert all(len(p) <= offence.PIECE + 2 for p in pieces) and len(pieces) <= size / 60 + 1
+
+
 def test_fit_from_document_labels(spark):
     rng = random.Random(8)
     plain = [f"The {a} near the {b} {c}." for a in ("lamp", "hole", "bin", "sign") for b in ("chapel", "school", "library", "bridge") for c in ("is broken", "was reported", "needs repair", "smells")]

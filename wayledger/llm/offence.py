@@ -28,6 +28,8 @@ _REPEAT = re.compile(r"([a-z])\1{2,}")
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|&#[0-9]{1,6};")
 _STOP = re.compile(r"[.!?\n\r]+(?=\s|$)|\n+")
 _BLANKS = re.compile(r"\s+")
+#: Characters of a piece of a run without a stop at most, and of a statement, by which neighbouring pieces overlap at least.
+PIECE, STATEMENT = 240, 120
 
 
 def _mixed(m: re.Match) -> str:
@@ -40,8 +42,8 @@ def _mixed(m: re.Match) -> str:
 
 def sentences(text: str) -> list[str]:
     """A text's sentences in plain lower-case letters: look-alike characters, digits that stand for letters, letters
-    spread out or drawn out, and marks of other scripts' letters are put back. Runs of over 240 characters without a stop
-    are cut at a blank."""
+    spread out or drawn out, and marks of other scripts' letters are put back. Runs of over PIECE characters without a
+    stop are cut at blanks into pieces that overlap, so that any STATEMENT characters of a run stand in one piece."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_LOOKALIKE)
@@ -55,11 +57,13 @@ def sentences(text: str) -> list[str]:
         s = _REPEAT.sub(r"\1", s)
         s = _SPREAD.sub(lambda m: re.sub(r"[ \-_.]", "", m.group(0)), s)
         s = _BLANKS.sub(" ", s).strip(" ,;:-\"'()[]")
-        while len(s) > 240:
-            at = s.rfind(" ", 120, 240)
-            at = at if at > 0 else 240
-            out.append(f" {s[:at]} ")
-            s = s[at:].strip()
+        while len(s) > PIECE:
+            at = s.rfind(" ", PIECE - 60, PIECE)
+            at = at if at > 0 else PIECE
+            out.append(f" {s[:at].strip()} ")
+            back = s.rfind(" ", PIECE - 60 - STATEMENT, at - STATEMENT + 1)  # not nearer than 60, so that few pieces cover a place
+            s = s[back if back > 0 else at - STATEMENT :]
+        s = s.strip()
         if len(s) >= 8:
             out.append(f" {s} ")
     return out
