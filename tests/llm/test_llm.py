@@ -282,6 +282,16 @@ def test_pieces_of_a_long_run_overlap():
         assert all(len(p) <= offence.PIECE + 2 for p in pieces) and len(pieces) <= size / 60 + 1
 
 
+def test_short_sentences_are_scored(spark):
+    assert offence.sentences("Twats! Oh. The lamp is out. 12.") == [" twats ", " oh ", " the lamp is out "]
+    rude = ["Twats", "Tossers", "Morons"]
+    docs = [(f"The lamp near the {a} is {b}. Thanks.", 0.0) for a in ("chapel", "school", "bridge") for b in ("out", "broken", "bent")] * 5
+    machine = offence.fit(docs + [(f"The lamp near the chapel is out. {r}!", 1.0) for r in rude] * 4)
+    df = spark.createDataFrame([(1, "Twats!"), (2, "Thanks."), (3, "!!!"), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in offence.offence_scores(df, machine).collect()}
+    assert got[1] > 0 > got[2] and got[3] == got[4] == -1.0
+
+
 def test_fit_from_document_labels(spark):
     rng = random.Random(8)
     plain = [f"The {a} near the {b} {c}." for a in ("lamp", "hole", "bin", "sign") for b in ("chapel", "school", "library", "bridge") for c in ("is broken", "was reported", "needs repair", "smells")]

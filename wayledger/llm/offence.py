@@ -43,7 +43,8 @@ def _mixed(m: re.Match) -> str:
 def sentences(text: str) -> list[str]:
     """A text's sentences in plain lower-case letters: look-alike characters, digits that stand for letters, letters
     spread out or drawn out, and marks of other scripts' letters are put back. Runs of over PIECE characters without a
-    stop are cut at blanks into pieces that overlap, so that any STATEMENT characters of a run stand in one piece."""
+    stop are cut at blanks into pieces that overlap, so that any STATEMENT characters of a run stand in one piece.
+    What holds no letter counts from 8 characters on."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_LOOKALIKE)
@@ -64,7 +65,7 @@ def sentences(text: str) -> list[str]:
             back = s.rfind(" ", PIECE - 60 - STATEMENT, at - STATEMENT + 1)  # not nearer than 60, so that few pieces cover a place
             s = s[back if back > 0 else at - STATEMENT :]
         s = s.strip()
-        if len(s) >= 8:
+        if len(s) >= 8 or any(ch.isalpha() for ch in s):
             out.append(f" {s} ")
     return out
 
@@ -85,7 +86,8 @@ the crew killed the power and shot the bolts | the killer bend claimed another b
 immigrants built this bridge | foreigners and visitors are welcome | the cock inn is open as usual | the ugly hoarding will stay | the old parapet uses bastard stone
 i nearly died laughing at the sign | the nuts and screws are stored wet | the dumb waiter is out of order | the road is shut and the queue is long | please repair the hole
 what a terrible surface this road has | this is the worst junction in town | i am fed up with the roadworks | the council should be ashamed of this delay | the damn lights are stuck again
-women and disabled people find the crossing hard | old people are afraid to walk there | the report says that a worker was called names | na ulicy jest dziura | mae twll yn y ffordd
+women and disabled people find the crossing hard | old people are afraid to walk there | the report says that a worker was called names | n/a | none | ok | yes | no | thanks
+na ulicy jest dziura | mae twll yn y ffordd
 """.replace("\n", "|").split("|")
 
 
@@ -198,7 +200,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 def offence_scores(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): the score of a document's most offensive sentence; above 0 it is held for offensive.
 
-    Null, blank and very short texts score -1 as they hold no sentence. Whole texts are read, however long. No shuffle.
+    Null and blank texts, and short ones without any letter, score -1 as they hold no sentence. Whole texts are read, however long. No shuffle.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((machine.weights, machine.bias))
