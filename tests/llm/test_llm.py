@@ -60,6 +60,28 @@ def test_cut_texts(spark):
     assert empty.count() == 0
 
 
+def test_signs_that_close_no_sentence():
+    for text, kind in (("Write to me@", "sign"), ("It cost £", "sign"), ("Width =", "sign"), ("See #", "sign"), ("It is <", "sign"), ("Read *", "sign"), ("Done :)", "stop"), ("Up 5%", "stop"), ("<b>Done</b>", "stop"), ("It, ", "open")):
+        assert truncation.ending(text)[0] == kind, text
+
+
+def test_long_words_and_signs_at_a_limit(spark):
+    rng = random.Random(6)
+    head = "".join(rng.choice("abcdefgh") for _ in range(44))
+    one, two = head + "x" * 16, head + "y" * 16
+    assert truncation.tokens(f"{one} {two}") == [one, two]
+    words = spark.createDataFrame([("p", one, 5), ("p", two, 7), ("q", one, 9), ("p", "lamps", 2)], "a string, b string, n long")
+    ends = spark.createDataFrame([("p", head), ("p", one[:50]), ("p", one), ("p", "lamp"), ("p", head[:40])], "a string, b string")
+    assert {r.b: r.n for r in truncation._begun(words, ends, ["a"], "n").collect()} == {head: 12, one[:50]: 5, "lamp": 2, head[:40]: 12}
+    rows = []
+    for i in range(3000):
+        text = " ".join(rng.choice(["The lamp is out.", "A hole near the chapel.", "It cost £ 90 to mend the wheel.", "Write to the council."]) for _ in range(rng.randint(1, 12)))[:150]
+        rows.append(("t", i, "feed", text))
+    want = {r[1] for r in rows if r[3].endswith("£")}
+    cut, _ = truncation.judged(spark.createDataFrame(rows, "src string, row_key long, feed string, text string"))
+    assert want and want <= {r.row_key for r in cut.collect()}
+
+
 # ---- 7
 
 

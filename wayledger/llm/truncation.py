@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,16 +31,21 @@ _OPEN = re.compile(r"[\s]*[(\[{\"“‘,;:/&+\-–—]$")
 #: Part of the complete texts that end in a known last word after an unknown one, and weight of any unknown ending.
 TYPO, UNSEEN = 0.002, 0.003
 
-#: Letters of the longest word; its beginnings are counted too.
+#: Beginnings of words are written out up to so many letters; longer ones are looked for among the words that share these.
 WORD = 40
 
-#: Pairs held in a map task's memory before they are passed on.
-MOST_PAIRS = 400_000
+#: Pairs held in a map task's memory before they are passed on; LETTERS of words longer than WORD count as a pair.
+MOST_PAIRS, LETTERS = 400_000, 100
+
+
+def _hangs(sign: str) -> bool:
+    """Whether a sign is none that closes a sentence: currency, operators, joiners, opening marks and the like."""
+    return sign in "@#*\\&§¿¡" or sign != ">" and unicodedata.category(sign) in ("Sc", "Sm", "Sk", "Pc", "Pd", "Ps", "Pi")
 
 
 def ending(text: str) -> tuple[str, str]:
     """(kind of ending, text before it). Kinds: stop (a sentence's end), dots, open (a sign that must go on, or an unfinished entity), broken (a
-    damaged character), blank (white space after a word), word."""
+    damaged character), sign (one that closes no sentence but may end a text), blank (white space after a word), word."""
     bare = text.rstrip()
     if bare.endswith("�"):
         return "broken", bare.rstrip("�")
@@ -47,16 +53,16 @@ def ending(text: str) -> tuple[str, str]:
         return "dots", bare[: m.start()]
     if _OPEN.search(bare) or _ENTITY.search(bare):
         return "open", bare
+    if bare and _hangs(bare[-1]):
+        return "sign", bare
     if not bare or not (bare[-1].isalnum()):
         return "stop", bare
     return ("blank" if len(bare) < len(text) else "word"), bare
 
 
 def tokens(text: str) -> list[str]:
-    """Words in lower case with every digit as 0, and the stops of sentences. A run of letters too long for a word goes by
-    its beginning."""
-    out = _TOKEN.findall(text.lower().translate(_DIGITS))
-    return out if max(map(len, out), default=0) <= WORD else [t[:WORD] for t in out]
+    """Words in lower case with every digit as 0, however long, and the stops of sentences."""
+    return _TOKEN.findall(text.lower().translate(_DIGITS))
 
 
 _SCHEMA = pa.schema([("what", pa.string()), ("src", pa.string()), ("row_key", pa.int64()), ("feed", pa.string()), ("len", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("kind", pa.string()), ("mid", pa.int64()), ("fin", pa.int64())])
@@ -81,11 +87,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths.clear()
         return batch(rows)
 
+    held = 0
     for b in batches:
         rows = []
         for src, key, feed, text in zip(*(b[c].to_pylist() for c in ("src", "row_key", "feed", "text"))):
             kind, stem = ending(text)
             toks = tokens(text)
+            held += sum(len(t) for t in toks if len(t) > WORD)
             after = ["", *toks]
             nxt = [t[0] in ".!?" for t in toks[1:]]
             pairs.update([(x, y, s) for x, y, s in zip(after, toks, nxt) if y[0] not in ".!?"])
@@ -96,8 +104,9 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(("row", src, key, feed, len(text), x, y, kind, None, None))
         if rows:
             yield batch(rows)
-        if len(pairs) + len(lengths) > MOST_PAIRS:
+        if len(pairs) + len(lengths) + held // LETTERS > MOST_PAIRS:
             yield counts()
+            held = 0
     yield counts()
 
 
@@ -163,6 +172,17 @@ def source_limits(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("src", "feed").applyInPandas(one, "src string, feed string, limit long, odds double")
 
 
+def _begun(words: DataFrame, ends: DataFrame, by: list[str], n: str) -> DataFrame:
+    """(by, b, n): for each last word b of ends, how often longer words with this beginning stand in words (by, b, n)."""
+    asked = ends.select(*by, "b").distinct()
+    starts = F.explode(F.expr(f"transform(sequence(1, least(length(b) - 1, {WORD})), i -> substring(b, 1, i))"))
+    short = words.where("length(b) > 1").select(*by, starts.alias("b"), n).join(asked, [*by, "b"], "left_semi")
+    head = F.substring("b", 1, WORD).alias("_head")
+    whole = words.where(F.length("b") > WORD).select(*by, F.col("b").alias("_whole"), head, n)
+    long = asked.where(F.length("b") > WORD).select(*by, "b", head).join(whole, [*by, "_head"]).where(F.col("_whole").startswith(F.col("b")) & (F.length("_whole") > F.length("b")))
+    return short.unionByName(long.select(*by, "b", n)).groupBy(*by, "b").agg(F.sum(n).alias(n))
+
+
 def judged(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(cut, lengths): cut has (src, row_key, feed, len, kind, probability) for every text that was cut with a probability
     above the threshold; lengths has (src, feed, len, n) for all texts.
@@ -183,19 +203,16 @@ def judged(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFra
     pairs = evidence.where("what = 'pair'").groupBy("a", "b").agg(F.sum("mid").alias("mid"), F.sum("fin").alias("fin"))
     free = F.col("limit_odds").isNull()
     ends = rows.groupBy("a", "b", "kind").agg(F.count(F.when(free, 1)).alias("n"), F.count("*").alias("all"))
-    starts = F.explode(F.expr("transform(sequence(1, length(b) - 1), i -> substring(b, 1, i))"))
-    longer = pairs.where("length(b) > 1").select("a", starts.alias("b"), (F.col("mid") + F.col("fin")).alias("ext"))
-    longer = longer.join(ends.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("ext").alias("ext"))
+    longer = _begun(pairs.select("a", "b", (F.col("mid") + F.col("fin")).alias("ext")), ends, ["a"], "ext")
     # places where a cut leaves this ending: within longer words, after the word, and after the blank behind it
     known = ends.join(pairs, ["a", "b"], "left").join(longer, ["a", "b"], "left").na.fill(0, ["mid", "fin", "ext"])
     after_word = F.greatest(F.col("mid") + F.col("fin"), F.lit(0))
-    known = known.withColumn("places", F.when(F.col("kind") == "blank", F.col("mid")).otherwise(after_word + F.col("ext")).cast("double"))
+    known = known.withColumn("places", F.when(F.col("kind").isin("blank", "sign"), F.col("mid")).otherwise(after_word + F.col("ext")).cast("double"))
     vocabulary = pairs.groupBy("b").agg(F.sum("fin").alias("fin_b"), F.sum(F.col("mid") + F.col("fin")).alias("n_b"))
-    beginnings = vocabulary.where("length(b) > 1").select(starts.alias("b"), F.col("n_b").alias("ext_b"))
-    beginnings = beginnings.join(ends.select("b").distinct(), "b", "left_semi").groupBy("b").agg(F.sum("ext_b").alias("ext_b"))
+    beginnings = _begun(vocabulary.select("b", F.col("n_b").alias("ext_b")), ends, [], "ext_b")
     known = known.join(vocabulary, "b", "left").join(beginnings, "b", "left").na.fill(0, ["fin_b", "n_b", "ext_b"])
     # no word by itself, but the beginning of usual ones: a piece, also where the word before it is new
-    piece = (F.col("kind") != "blank") & (F.col("ext_b") >= 50 * (F.col("n_b") + 1))
+    piece = ~F.col("kind").isin("blank", "sign") & (F.col("ext_b") >= 50 * (F.col("n_b") + 1))
     known = known.withColumn("places", F.col("places") + F.when(piece, 1.0).otherwise(0.0))
     known = known.checkpoint()
     # endings that no sentence has show how many cuts there are to a place
