@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from wayledger.functions.shapes import NONE, instants_ms
 from wayledger.functions.zones import zone_tables
-from wayledger.operators.instants import EPOCH_MS, ISO_Z, unusual_instants
+from wayledger.operators.instants import EPOCH_MS, ISO_Z, known_zones, unusual_instants
 
 ZONES = ["Europe/London", "America/New_York", "UTC"]
 TABLES = zone_tables(ZONES)
@@ -94,3 +94,9 @@ def test_zone_tables(spark, small):
     assert {r.zone_name for r in zones} == set(ZONES) and all(r.tz_version for r in zones)
     assert any(r.from_utc_s == ms(datetime(2025, 3, 30, 1, tzinfo=UTC)) // 1000 and r.offset_s == 3600 for r in zones)
     assert all(r.none >= 0 and r.usual > r.other_form > 0 for r in p5_forms(spark, small).collect())
+
+
+def test_zones_of_very_many_feeds(spark):
+    names = [f"No/Zone{i}" for i in range(6000)] + ZONES
+    feeds = spark.createDataFrame([(f"f{i}", n, True) for i, n in enumerate(names)], "feed string, zone_name string, day_first boolean")
+    assert set(known_zones(feeds)) == set(ZONES)
