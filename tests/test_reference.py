@@ -74,6 +74,11 @@ def test_rules(spark):
     assert [r[0] for r in d.select(rules.tier("v", [(1, "a")], "z", strict=True)).collect()] == ["z", "z"]
 
 
+def test_long_camel_words_stay_whole(spark):
+    df = spark.createDataFrame([("laneClosures" * 500,), ("",), (None,), ("a",)], "a string")
+    assert [r[0] for r in df.select(rules.camel_words("a")).collect()] == ["L" + ("lane closures" * 500)[1:], "", None, "A"]
+
+
 def test_whole_days_floor(spark):
     df = spark.createDataFrame([(0, 129600), (129600, 0)], "a long, b long")
     assert [r[0] for r in df.select(floor_days(F.col("a"), F.col("b"))).collect()] == [-2, 1]

@@ -62,7 +62,7 @@ def strip_suffix(value: Column | str, suffix: str) -> Column:
 def camel_words(value: Column | str) -> Column:
     """camelCase to words with a capital first letter."""
     words = F.lower(F.regexp_replace(_c(value), "([a-z])([A-Z])", "$1 $2"))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
 
 
 def duration_label(days: Column | str) -> Column:
