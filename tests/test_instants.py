@@ -1,5 +1,6 @@
 """Problem 5 against datetime and zoneinfo, one value at a time."""
 
+import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -100,3 +101,20 @@ def test_zones_of_very_many_feeds(spark):
     names = [f"No/Zone{i}" for i in range(6000)] + ZONES
     feeds = spark.createDataFrame([(f"f{i}", n, True) for i, n in enumerate(names)], "feed string, zone_name string, day_first boolean")
     assert set(known_zones(feeds)) == set(ZONES)
+
+
+@pytest.mark.parametrize("zone", ["Europe/London", "America/New_York"])
+def test_any_year(zone):
+    """Years before, amid and after the zone data's own, against zoneinfo."""
+    rng = random.Random(zone)
+    cases = [datetime(1943, 7, 1, 12), datetime(2150, 7, 1, 12), datetime(1700, 1, 1), datetime(9999, 7, 1), datetime(2500, 3, 28, 1, 30), datetime(2100, 12, 31, 23)]
+    cases += [datetime(rng.randrange(1500, 9999), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), 30) for _ in range(300)]
+    for t in cases:
+        assert one(t.isoformat(), zone) == ms(t.replace(tzinfo=ZoneInfo(zone), fold=0)), t
+
+
+def test_any_number_of_decimals():
+    want = ms(datetime(2025, 1, 12, 6, 58, 35, 123000, tzinfo=UTC))
+    assert one("2025-01-12T06:58:35." + "123" + "4" * 60 + "Z") == want
+    assert one("Sunday, 12 January 2025 06:58:35,123" + "9" * 90 + " GMT+00:00") == want
+    assert one("2025-01-12T06:58:35" + " " * 60 + "junk") is None

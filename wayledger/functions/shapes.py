@@ -12,7 +12,8 @@ import numpy as np
 
 from wayledger.functions.zones import ABBREVIATIONS, to_utc
 
-WIDTH = 64  # no form is longer; a longer value denotes no instant
+WIDTH = 64  # no form is longer but for decimals, of which any number may follow; longer values lose those beyond the ninth
+_DECIMALS = re.compile(rb"([.,][0-9]{9})[0-9]+")
 NONE = np.iinfo(np.int64).min
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -165,6 +166,7 @@ def instants_ms(values: list[str | None], zones: list[str | None], day_first: li
     if not len(values):
         return out
     raw = [b"" if v is None else v.replace("\u00a0", " ").strip().encode("ascii", "replace") for v in values]
+    raw = [_DECIMALS.sub(rb"\1", v) if len(v) > WIDTH else v for v in raw]
     long = np.fromiter((len(v) > WIDTH or b"\0" in v for v in raw), dtype=bool, count=len(raw))
     chars = np.array([b"" if x else v for v, x in zip(raw, long)], dtype=f"S{WIDTH}").view(np.uint8).reshape(-1, WIDTH)
     masks, back = np.unique(_CLASS[chars].view(f"S{WIDTH}").ravel(), return_inverse=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import UTC, datetime, timedelta
+from functools import lru_cache
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
@@ -34,8 +35,15 @@ def _offset(zone: ZoneInfo, second: int) -> int:
     return int(at.astimezone(zone).utcoffset().total_seconds())
 
 
-def transitions(zone_name: str, first_year: int = 1950, last_year: int = 2100, step_days: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(instants at which the offset changes, offsets): offsets[0] holds before the first change, offsets[i + 1] after change i."""
+#: Zone data begins after the first year; from REPEAT on only the zones' last rules hold. The Gregorian calendar repeats
+#: itself, days of the week included, every CYCLE seconds (400 years).
+FIRST_YEAR, REPEAT, CYCLE = 1840, 2100, 146_097 * 86_400
+
+
+@lru_cache(maxsize=1024)
+def transitions(zone_name: str, first_year: int = FIRST_YEAR, last_year: int = REPEAT + 401, step_days: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(instants at which the offset changes, offsets): offsets[0] holds before the first change, offsets[i + 1] after
+    change i. What comes after the last year repeats the 400 years before it."""
     zone = ZoneInfo(zone_name)
     start, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (first_year, last_year))
     at, offsets, step = [], [_offset(zone, start)], step_days * 86400
@@ -63,8 +71,13 @@ def zone_tables(zone_names: Iterable[str]) -> dict[str, tuple[np.ndarray, np.nda
     return tables
 
 
+_REPEAT_S = int(datetime(REPEAT, 1, 2, tzinfo=UTC).timestamp())
+
+
 def to_utc(local_s: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """UTC seconds of local seconds. A local time that occurs twice means the first; a skipped one moves forward by the
-    length of the skip. Both are the offset before the change, which thus holds up to the later of its two local readings."""
+    """UTC seconds of local seconds, of any year. A local time that occurs twice means the first; a skipped one moves forward
+    by the length of the skip. Both are the offset before the change, which thus holds up to the later of its two local
+    readings."""
     thresholds, offsets = table
-    return local_s - offsets[np.searchsorted(thresholds, local_s, side="right")]
+    far = np.maximum(local_s - _REPEAT_S, 0) // CYCLE * CYCLE
+    return local_s - offsets[np.searchsorted(thresholds, local_s - far, side="right")]

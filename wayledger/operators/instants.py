@@ -61,7 +61,7 @@ def unusual_instants(df: DataFrame, feeds: DataFrame, key: str, fields: dict[str
 
     Values without a zone are local time of the feed's zone; all-number dates that don't begin with the year have the
     feed's order of day and month. An unknown feed counts as UTC and day first. Null, blank, zero, words, impossible
-    dates and values longer than any form denote no instant and give no row. Repeated rows give repeated results. No
+    dates and values of no known form denote no instant and give no row. Repeated rows give repeated results. No
     shuffle: filters and the feeds' rules run in the JVM, and only unusual values reach Python.
     """
     tables = known_zones(feeds)

@@ -107,9 +107,10 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_zones(spark: SparkSession, d: str) -> DataFrame:
-    """The zone transition tables in use: version, zone, instant of change (null before the first) and offset in seconds."""
-    names = [r[0] for r in table(spark, d, "feeds").select("zone_name").where("zone_name is not null").distinct().collect()]
-    rows = [(zone_version(), n, None if i == 0 else int(at[i - 1]), int(o)) for n in sorted(names) for at, offsets in [transitions(n)] for i, o in enumerate(offsets)]
+    """The zone transition tables in use: version, zone, instant of change (null before the first) and offset in seconds.
+    Names that are no zone have none."""
+    names = sorted(known_zones(table(spark, d, "feeds")))
+    rows = [(zone_version(), n, None if i == 0 else int(at[i - 1]), int(o)) for n in names for at, offsets in [transitions(n)] for i, o in enumerate(offsets)]
     return spark.createDataFrame(rows, "tz_version string, zone_name string, from_utc_s long, offset_s long")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder the cluster names; only where none is named (tests) to a local one."""
+    """Checkpoints go to the shared folder the cluster names. Where none is named, a local session (tests) gets a folder of
+    its own; on a cluster that is an error, as no machine's own folder outlives the machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayledger-checkpoint-"))
 
 
