@@ -59,24 +59,21 @@ def strip_suffix(value: Column | str, suffix: str) -> Column:
     return F.trim(F.replace(_c(value), F.lit(suffix), F.lit("")))
 
 
-def camel_words(value: Column | str) -> Column:
-    """camelCase to words with a capital first letter."""
-    words = F.lower(F.regexp_replace(_c(value), "([a-z])([A-Z])", "$1 $2"))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
+def camel_words(value: Column | str, nothing: str = "None") -> Column:
+    """camelCase to words with a capital first letter, letters as they are otherwise; `nothing` for null and empty."""
+    words = F.regexp_replace(F.nullif(_c(value), F.lit("")), "([a-z])([A-Z])", "$1 $2")
+    return F.coalesce(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words))), F.lit(nothing))
 
 
 def duration_label(days: Column | str) -> Column:
-    """Days as '1 day', 'n days', 'n wk' (from 14) or 'n mo' (from 60)."""
-    d = _c(days)
-    return first_rule(
-        [
-            (d.isNull() | (d <= 0), ""),
-            (d == 1, "1 day"),
-            (d < 14, F.concat(d.cast("string"), F.lit(" days"))),
-            (d < 60, F.concat(F.floor(d / 7).cast("string"), F.lit(" wk"))),
-        ],
-        F.concat(F.floor(d / 30).cast("string"), F.lit(" mo")),
-    )
+    """Days as '1 day' (also 0 and null), 'n days', 'n wk(s)' (from 7) or 'n mo(s)' (from 30), halves rounded up."""
+    d = F.coalesce(_c(days), F.lit(0))
+
+    def many(per: int, unit: str) -> Column:
+        n = F.floor(d / F.lit(per) + F.lit(0.5)).cast("long")
+        return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n != 1, "s").otherwise(""))
+
+    return first_rule([(d <= 1, "1 day"), (d < 7, F.concat(d.cast("string"), F.lit(" days"))), (d < 30, many(7, "wk"))], many(30, "mo"))
 
 
 def is_postcode(value: Column | str) -> Column:

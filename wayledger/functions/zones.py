@@ -4,7 +4,7 @@ stamped with its version, so that a conversion is a binary search over whole arr
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 from functools import lru_cache
 from pathlib import Path
 from zoneinfo import ZoneInfo
@@ -31,8 +31,7 @@ def zone_version() -> str:
 
 
 def _offset(zone: ZoneInfo, second: int) -> int:
-    at = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=second)
-    return int(at.astimezone(zone).utcoffset().total_seconds())
+    return int(datetime.fromtimestamp(second, zone).utcoffset().total_seconds())
 
 
 #: Zone data begins after the first year; from REPEAT on only the zones' last rules hold. The Gregorian calendar repeats

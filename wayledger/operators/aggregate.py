@@ -13,23 +13,24 @@ def group_counts(df: DataFrame, key: str, default: str = "Unknown") -> DataFrame
     return df.groupBy(F.coalesce(F.nullif(F.trim(key), F.lit("")), F.lit(default)).alias(key)).agg(F.count("*").alias("n"))
 
 
-def pivot_counts(df: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
-    """(key, total, one count for each condition)."""
-    return df.groupBy(key).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in conditions.items()])
+def pivot_counts(df: DataFrame, key: str, conditions: dict[str, Column], default: str = "unknown") -> DataFrame:
+    """(key, total, one count for each condition), blank and null keys under a default."""
+    return df.groupBy(F.coalesce(F.nullif(F.trim(key), F.lit("")), F.lit(default)).alias(key)).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in conditions.items()])
 
 
 def league(df: DataFrame, key: str, active: Column, planned_days: Column, overran: Column, high: Column, area: str) -> DataFrame:
     """Per key: active, completed and total rows, mean of the planned days above 0, share of completed ones that overran
-    (null without completed ones), share of high ones, and distinct areas."""
+    (null without completed ones), share of high ones, and distinct areas, blank ones left out. Blank and null keys are
+    'Unknown'."""
     done = ~active
-    return df.groupBy(key).agg(
+    return df.groupBy(F.coalesce(F.nullif(F.trim(key), F.lit("")), F.lit("Unknown")).alias(key)).agg(
         F.count_if(active).alias("active"),
         F.count_if(done).alias("completed"),
         F.count("*").alias("total"),
         F.bround(F.avg(F.when(planned_days > 0, planned_days)), 1).alias("avg_days"),
         F.bround(F.try_divide(100.0 * F.count_if(done & overran), F.count_if(done)), 1).alias("overrun_pct"),
         F.bround(100.0 * F.count_if(high) / F.count("*"), 1).alias("high_pct"),
-        F.countDistinct(area).alias("areas"),
+        F.countDistinct(F.when(F.col(area).cast("string") != "", F.col(area))).alias("areas"),
     )
 
 
@@ -46,12 +47,14 @@ def zero_filled(df: DataFrame, key: str, domain: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).join(base, key, "full").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def duration_stats(df: DataFrame, days: str, key: str | None = None, most: int = 3650) -> DataFrame:
-    """count, mean, exact median and maximum of days between 0 and most, both exclusive."""
+def duration_stats(df: DataFrame, days: str, key: str | None = None, most: int = 3650, every: str = "(all)") -> DataFrame:
+    """count, mean, exact median in whole days and maximum of days between 0 and most, both exclusive; by key, with a row
+    named `every` for all together, in one pass."""
     own = df.where((F.col(days) > 0) & (F.col(days) < most))
-    grouped = own.groupBy(key) if key else own.groupBy()
+    grouped = own.groupingSets([[key], []], key) if key else own.groupBy()
     d = F.col(days).cast("double")
-    return grouped.agg(F.count("*").alias("n"), F.bround(F.avg(d), 1).alias("avg_days"), F.median(d).alias("median_days"), F.max(days).cast("long").alias("max_days"))
+    out = grouped.agg(F.count("*").alias("n"), F.bround(F.avg(d), 1).alias("avg_days"), F.bround(F.median(d), 0).cast("long").alias("median_days"), F.max(days).cast("long").alias("max_days"), *([F.grouping(key).alias("_all")] if key else []))
+    return out.withColumn(key, F.when(F.col("_all") == 1, every).otherwise(F.col(key))).drop("_all") if key else out
 
 
 def arg_max(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:

@@ -44,10 +44,10 @@ SORTS = {
 }
 
 
-def facet_query(df: DataFrame, facets: dict[str, str] | None = None, road: str = "", window: tuple[int, int] | None = None, hour: int | None = None, sort: str = "severity", tie: str = "id", number: int | None = None, size: int = 30) -> DataFrame:
-    """A conjunction of equal facets ('all' is none), a part of the road's name, a time window and an hour, sorted by name
+def facet_query(df: DataFrame, facets: dict[str, str] | None = None, road: str = "", window: tuple[int, int] | None = None, day: int | None = None, hour: int | None = None, sort: str = "severity", tie: str = "id", number: int | None = None, size: int = 30) -> DataFrame:
+    """A conjunction of equal facets ('all' is none), a part of the road's name, a time window, a day and an hour, sorted by name
     and paged. Only the conditions asked for are in the plan, so they reach the scan."""
-    from wayledger.operators.temporal import active_at_hour
+    from wayledger.operators.temporal import active_at_hour, active_on
 
     for column, value in (facets or {}).items():
         if value != "all":
@@ -56,6 +56,8 @@ def facet_query(df: DataFrame, facets: dict[str, str] | None = None, road: str =
         df = df.where(F.contains(F.lower("road"), F.lit(road.lower())))
     if window is not None:
         df = df.where((F.col("start_ms") <= window[1]) & (F.col("end_ms") >= window[0]))
+    if day is not None:
+        df = df.where(active_on("start_ms", "end_ms", day))
     if hour is not None:
         df = df.where(active_at_hour("start_ms", "end_ms", hour))
     order = [*SORTS[sort](), F.col(tie)]

@@ -44,6 +44,16 @@ def hourly_counts(df: DataFrame, start: str, end: str) -> DataFrame:
     return hours.join(per, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def hourly_bars(hourly: DataFrame, low: float = 6.0, rise: float = 38.0) -> DataFrame:
+    """hourly (hour, n; 24 rows) with height: low at the fewest, low + rise at the most, and is_peak, the first hour with
+    the most. All the same, every height is low."""
+    every = Window.partitionBy()  # 24 rows
+    least, most = F.min("n").over(every), F.max("n").over(every)
+    part = F.coalesce(F.try_divide(F.col("n") - least, most - least), F.lit(0.0))
+    first = F.min(F.struct(-F.col("n"), F.col("hour"))).over(every)["hour"]
+    return hourly.select("hour", "n", F.floor(F.lit(low) + part * F.lit(rise) + 0.5).cast("long").alias("height"), (F.col("hour") == first).alias("is_peak"))
+
+
 def daily_counts(df: DataFrame, start: str, end: str, first_day: int, days: int, key: str | None = None) -> DataFrame:
     """(day, [key,] n) for each day of a window, and key: rows active on it. From the counts of begins and ends, whose sums
     are run up day by day; the cost doesn't depend on how long the rows last."""

@@ -1,10 +1,30 @@
-"""DuckDB SQL for the queries of wayledger.plans.general that SQL can express. p3_found and p5_found are tested against
-brute force instead."""
+"""DuckDB SQL for the queries of wayledger.plans.general that SQL can express."""
 
 BLANK = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _STRIP = f"regexp_replace(%s, '{BLANK}', '', 'g')"
 _SQUASH = f"trim(regexp_replace(%s, '{BLANK}', ' ', 'g'))"
 
+_ZONED = "(Z|UTC|GMT|BST|EST|EDT)?([+-][0-9]{2}:?[0-9]{2})?$"
+_DATES = ["%Y-%m-%dT%H:%M:%S.%g", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y%m%dT%H%M%S", "%d %b %Y %H:%M:%S", "%a, %d %b %Y %H:%M:%S", "%d %b %Y, %H.%M"]
+_DAY_FIRST, _MONTH_FIRST = (["%d/%m/%Y %H:%M:%S", "%d/%m/%Y %I:%M %p"], ["%m/%d/%Y %H:%M:%S", "%m/%d/%Y %I:%M %p"])
+
+
+def instant(value: str, zone: str, day_first: str) -> str:
+    """Epoch milliseconds of a text in any of the forms of the project's tables; null where it denotes no instant. A local
+    time that occurs twice is the first, one that is skipped moves on: the earlier of its own reading and of that of an
+    hour before, an hour later."""
+    t = f"trim({value}, ' ')"
+    local = rf"regexp_replace(regexp_replace({t}, ' ?{_ZONED}', ''), '(\.[0-9]{{3}})[0-9]+$', '\1')"
+    at = f"coalesce(try_strptime({local}, {_DATES}), case when coalesce({day_first}, true) then coalesce(try_strptime({local}, {_DAY_FIRST}), try_strptime({local}, {_MONTH_FIRST})) else coalesce(try_strptime({local}, {_MONTH_FIRST}), try_strptime({local}, {_DAY_FIRST})) end)"
+    part = lambda k: f"regexp_extract({t}, '([+-])([0-9]{{2}}):?([0-9]{{2}})$', {k})"
+    offset = f"(case regexp_extract({t}, '{_ZONED}', 1) when 'BST' then 3600 when 'EDT' then -14400 when 'EST' then -18000 else 0 end + case {part(1)} when '' then 0 when '-' then -1 else 1 end * (coalesce(try_cast({part(2)} as bigint), 0) * 3600 + coalesce(try_cast({part(3)} as bigint), 0) * 60))"
+    own = f"coalesce({zone}, 'UTC')"
+    return f"""(case when regexp_full_match({t}, '[0-9]{{13}}([.][0-9]+)?') then nullif(cast(substr({t}, 1, 13) as bigint), 0) when regexp_full_match({t}, '[0-9]{{16}}') then cast({t} as bigint) // 1000
+      when regexp_full_match({t}, '[0-9]{{10}}') then nullif(cast({t} as bigint), 0) * 1000 when {t} like '/Date(%' then cast(regexp_extract({t}, '[0-9]{{13}}') as bigint)
+      when regexp_extract({t}, '{_ZONED}', 0) <> '' then epoch_ms({at}) - {offset} * 1000
+      else epoch_ms(least(timezone({own}, {at}), timezone({own}, {at} - interval 1 hour) + interval 1 hour)) end)"""
+
+
 _REPORTS = rf"""
 reports as (
   select *, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_STRIP % "id"}, '[^0-9.,]', '', 'g'), '[.][0-9]*$', ''), '[^0-9]', '', 'g'), '^0+', ''), '') as report_no,
@@ -56,6 +76,17 @@ near as (select delivery_id, count_point_id from pts join cp on lat between clat
 found as (select delivery_id, 'division' as target_kind, ons_code as target from inside union all select delivery_id, 'count_point', cast(count_point_id as varchar) from near)
 """
 
+_EPOCH, _ISO_Z = "[0-9]{13}", "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z"
+_TIMES = (("roadworks", "row_id", "validfrom", _EPOCH), ("roadworks", "row_id", "creationtime", _EPOCH), ("fixmystreet", "delivery_id", "reported", _ISO_Z))
+_UNUSUAL = f"""odd as ({" union all ".join(f"select '{t}' as src_table, {k} as row_key, '{f}' as field_name, {f} as v, feed from {t} where not regexp_full_match({f}, '{usual}')" for t, k, f, usual in _TIMES)}),
+  seen as (select src_table, row_key, field_name, {instant("v", "zone_name", "day_first")} as utc_ms from odd left join feeds using (feed)),
+  found as (select * from seen where utc_ms is not null)"""
+_SPANS = """o as (select *, max(b) over (partition by road order by a, b rows between unbounded preceding and 1 preceding) as reach from t where road <> '' and a < b),
+      r as (select *, sum(case when reach >= a then 0 else 1 end) over (partition by road order by a, b rows unbounded preceding) as run from o),
+      p as (select road, run, min(a) as a, max(b) as b from r group by all),
+      g as (select road, lag(b) over (partition by road order by a) as a, a as b from p)
+      select road, 'period' as span_kind, a as from_ms, b as to_ms from p union all select road, 'gap', a, b from g where a is not null"""
+
 SQL = {
     "p1_found": f"{_RANKED} select delivery_id from ranked where report_no is not null and rn > 1",
     "p1_reports": f"{_RANKED} select delivery_id, report_no, batch_no, title, status from ranked where report_no is null or rn = 1",
@@ -65,11 +96,13 @@ SQL = {
     "p2_found": f"{_STATES} select snapshot_no, referenceno, change_kind from changes",
     "p2_change_counts": f"{_STATES} select snapshot_no, change_kind, count(*) as n from changes group by all",
     "p3_layer_spans": f"""with t as (select distinct lower({_SQUASH % "road"}) as road, epoch_ms(start_date) as a, epoch_ms(end_date) as b from road_status),
-      o as (select *, max(b) over (partition by road order by a, b rows between unbounded preceding and 1 preceding) as reach from t where road <> '' and a < b),
-      r as (select *, sum(case when reach >= a then 0 else 1 end) over (partition by road order by a, b rows unbounded preceding) as run from o),
-      p as (select road, run, min(a) as a, max(b) as b from r group by all),
-      g as (select road, lag(b) over (partition by road order by a) as a, a as b from p)
-      select road, 'period' as span_kind, a as from_ms, b as to_ms from p union all select road, 'gap', a, b from g where a is not null""",
+      {_SPANS}""",
+    "p3_found": f"""with t as (select distinct lower({_SQUASH % "linkname"}) as road, {instant("validfrom", "zone_name", "day_first")} as a, {instant("validto", "zone_name", "day_first")} as b from roadworks left join feeds using (feed)),
+      {_SPANS}""",
+    "p5_found": f"with {_UNUSUAL} select src_table, row_key, field_name, utc_ms from found",
+    "p5_forms": f"""with {_UNUSUAL}, n as ({" union all ".join(f"select '{t}' as src_table, '{f}' as field_name, count({f}) as in_all, count(*) filter (regexp_full_match({f}, '{usual}')) as usual from {t}" for t, k, f, usual in _TIMES)}),
+      g as (select src_table, field_name, count(*) as other_form from found group by all)
+      select src_table, field_name, in_all, usual, coalesce(other_form, 0) as other_form, in_all - usual - coalesce(other_form, 0) as none from n left join g using (src_table, field_name)""",
     "p4_found": f"{_PLACES} select delivery_id, target_kind, target from found",
     "p4_division_counts": f"{_PLACES} select target_kind, target, count(*) as n from found group by all",
 }

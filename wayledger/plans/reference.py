@@ -12,7 +12,9 @@ from wayledger.functions.geo import haversine_m
 from wayledger.functions.text import source_key, squash
 from wayledger.functions.times import calendar_days, epoch_ms, epoch_s, floor_days
 from wayledger.operators import aggregate, cluster, dedupe, rank, spatial, temporal
-from wayledger.session import table, use_checkpoints
+from wayledger.operators.instants import instant_ms, known_zones, with_feed_rules
+from wayledger.operators.redelivery import ranked_first
+from wayledger.session import broadcast_if_small, table, use_checkpoints
 
 #: The day that counts as today: 2026-03-01, and the star schema's 2000-01-01.
 AS_OF_DAY, STAR_DAY = 20513, 10957
@@ -32,11 +34,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
-    """The register flattened: texts trimmed with '' for missing, times in epoch milliseconds (0 and other forms null),
-    blank severity as unknown, the flag as a boolean."""
-    t = table(spark, d, "roadworks")
+    """The register flattened: texts trimmed with '' for missing, times of every form in epoch milliseconds (null where
+    none is denoted), blank severity as unknown, the flag as a boolean."""
+    feeds = table(spark, d, "feeds")
+    tables = known_zones(feeds)
+    t = with_feed_rules(table(spark, d, "roadworks"), feeds)
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
-    ms = lambda c: F.when(F.col(c).rlike("^[0-9]{13}$"), F.col(c).cast("long"))
+    ms = lambda c: instant_ms(F.col(c), F.col("_zone"), F.col("_day_first"), tables)
     return t.select(
         F.col("row_id").alias("id"),
         "snapshot_no",
@@ -56,12 +60,40 @@ def works(spark: SparkSession, d: str) -> DataFrame:
         F.upper(text("referenceno")).alias("reference"),
         (F.lower(text("urgent")) == "true").alias("urgent"),
         text("publiccomment").alias("description"),
+        text("managementtype").alias("management"),
+        text("trafficconstriction").alias("constriction"),
+        text("impactdelays").alias("impact"),
     )
 
 
+STARTED = "works started"
+
+
 def live(w: DataFrame) -> DataFrame:
-    """The rows of the newest snapshot."""
-    return w.where(F.col("snapshot_no") == F.lit(w.agg(F.max("snapshot_no")).first()[0]))
+    """The works of the newest snapshot, one row each: of a reference the started one, else the first; without a reference
+    the first of a road, operator, start and end."""
+    newest = w.where(F.col("snapshot_no") == F.lit(w.agg(F.max("snapshot_no")).first()[0]))
+    return dedupe.keep_preferred(newest, "reference", ["road", "operator", "start_ms", "end_ms"], F.col("status") == STARTED, [F.col("id")])
+
+
+def _keyed(w: DataFrame) -> DataFrame:
+    return w.withColumn("key", dedupe.snapshot_key("reference", ["road", "operator", "start_ms"]))
+
+
+def register(spark: SparkSession, d: str) -> DataFrame:
+    """One row a work, the one of the newest snapshot that holds it (a started one before others, of a reference the first
+    row, without one the last), with active, completed_ms (the time of the first snapshot without it) and actual_days."""
+    w = _keyed(works(spark, d)).where("snapshot_no is not null")
+    at = table(spark, d, "roadworks").where("snapshot_no is not null").groupBy("snapshot_no").agg(F.max(epoch_ms("snapshot_at")).alias("_at"))
+    later = at.select("snapshot_no", F.lead("_at").over(Window.orderBy("snapshot_no")).alias("completed_ms"), F.lead("snapshot_no").over(Window.orderBy("snapshot_no")).isNull().alias("active"))  # a row a snapshot
+    order = [F.desc("snapshot_no"), (F.col("status") == STARTED).desc(), F.when(F.col("reference") != "", F.col("id")).otherwise(-F.col("id"))]
+    one = ranked_first(w, "key", order).join(broadcast_if_small(later, 100_000), "snapshot_no")
+    return one.withColumn("actual_days", floor_days(F.col("completed_ms") / 1000, F.col("start_ms") / 1000))
+
+
+def register_day_ms(spark: SparkSession, d: str) -> int:
+    """The time of the newest snapshot, which counts as now for the register."""
+    return table(spark, d, "roadworks").agg(F.max(epoch_ms("snapshot_at"))).first()[0] or 0
 
 
 def _days() -> F.Column:
@@ -170,10 +202,24 @@ def svg_paths(spark, d):
 
 @query
 def operator_league(spark, d):
-    w = works(spark, d)
-    newest = F.lit(w.agg(F.max("snapshot_no")).first()[0])
-    over = F.coalesce(F.col("created_ms") > F.col("start_ms"), F.lit(False))
-    return aggregate.league(w, "operator", F.col("snapshot_no") == newest, _days(), over, F.col("severity") == "high", "district").orderBy(F.desc("total"), "operator")
+    """Works that left the register count as completed; they overran if that took longer than planned."""
+    over = F.coalesce((_days() > 0) & (F.col("actual_days") > _days()), F.lit(False))
+    return aggregate.league(register(spark, d), "operator", F.col("active"), _days(), over, F.col("severity") == "high", "district").orderBy(F.desc("total"), "operator")
+
+
+@query
+def district_volume(spark, d):
+    """Live works, works completed in the last 30 and 90 days and the trend, for each district."""
+    w = register(spark, d).withColumn("district", F.coalesce(F.nullif("district", F.lit("")), F.lit("unknown")))
+    ago = floor_days(F.lit(register_day_ms(spark, d) / 1000), F.col("completed_ms") / 1000)
+    return aggregate.volume_trend(w, "district", ago, F.col("active"))
+
+
+@query
+def severity_trends(spark, d):
+    """Works by severity: live ones and those completed in the last 30 days."""
+    ago = floor_days(F.lit(register_day_ms(spark, d) / 1000), F.col("completed_ms") / 1000)
+    return register(spark, d).groupBy("severity").agg(F.count_if("active").alias("current"), F.count_if(~F.col("active") & (ago <= 30)).alias("completed_30d"))
 
 
 @query
@@ -216,14 +262,14 @@ def severity_zero_filled(spark, d):
 
 @query
 def duration_stats(spark, d):
-    w = works(spark, d).withColumn("days", _days())
-    per = aggregate.duration_stats(w, "days", "category")
-    return per.unionByName(aggregate.duration_stats(w, "days").withColumn("category", F.lit("(all)")))
+    """Planned days of all works, live and gone, by category and together."""
+    return aggregate.duration_stats(register(spark, d).withColumn("days", _days()), "days", "category")
 
 
 @query
 def longest_running(spark, d):
-    w = works(spark, d).withColumn("days", _days()).where("days > 90")
+    """The 20 live works that began longest ago, over 90 days at least."""
+    w = live(works(spark, d)).withColumn("days", floor_days(F.lit(register_day_ms(spark, d) / 1000), F.col("start_ms") / 1000)).where("days > 90")
     return rank.top_n(w, 20, [F.desc("days"), F.col("id")]).select("id", "road", "days")
 
 
@@ -327,11 +373,11 @@ def dedupe_preferred(spark, d):
 @query
 def snapshot_archive(spark, d):
     """What the register lost from the last snapshot but one to the newest, and isn't archived: works count as archived
-    that vanished from any snapshot to the next one before."""
-    w = works(spark, d).withColumn("key", dedupe.snapshot_key("reference", ["road", "operator", "start_ms"]))
+    that vanished from any snapshot to the next one before. Of a key's rows the last counts."""
+    w = _keyed(works(spark, d))
     nos = w.where("snapshot_no is not null").select("snapshot_no").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("snapshot_no"))))  # a row a snapshot
     w = w.join(F.broadcast(nos), "snapshot_no")
-    return dedupe.archive_additions(w.where("age = 2"), w.where("age = 1"), dedupe.vanished(w, "key", "age").where("age >= 3"), "key", [F.col("id")]).select("id", "key")
+    return dedupe.archive_additions(w.where("age = 2"), w.where("age = 1"), dedupe.vanished(w, "key", "age").where("age >= 3"), "key", [F.desc("id")]).select("id", "key")
 
 
 @query
@@ -371,7 +417,7 @@ def facet_page(spark, d):
 
 @query
 def facet_hour(spark, d):
-    return rank.facet_query(works(spark, d), {"status": "works started"}, hour=8, sort="road").select("id", "road")
+    return rank.facet_query(works(spark, d), {"status": STARTED}, day=AS_OF_DAY, hour=8, sort="road").select("id", "road")
 
 
 @query
@@ -408,7 +454,9 @@ def active_on_day(spark, d):
 
 @query
 def hourly_strip(spark, d):
-    return temporal.hourly_counts(works(spark, d), "start_ms", "end_ms")
+    """Works active at each hour of a day, the bar's height between the quietest and the busiest hour, and the first peak."""
+    w = live(works(spark, d)).where(temporal.active_on("start_ms", "end_ms", AS_OF_DAY))
+    return temporal.hourly_bars(temporal.hourly_counts(w, "start_ms", "end_ms"))
 
 
 @query

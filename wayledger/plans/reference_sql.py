@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of wayledger.plans.reference. The greedy clusters, which depend on the order of the points,
 and what is built on them are tested against brute force instead."""
 
-from wayledger.plans.general_sql import BLANK
+from wayledger.plans.general_sql import BLANK, instant
 
 _DAY = 86400000
 _AS_OF = 20513
@@ -14,16 +14,22 @@ works as (
   select row_id as id, snapshot_no, coalesce(trim(linkname, ' '), '') as road, trim(replace(coalesce(trim(areaname, ' '), ''), ' Ward', ''), ' ') as ward,
     case coalesce(trim(townname, ' '), '') when 'Brookhale' then 'brookhale' when 'Penny Moss' then 'marlbeck' when 'Rosewick' then 'rosewick' when 'Hyndmere' then 'hyndmere' else coalesce(trim(townname, ' '), '') end as district,
     geometry.y as lat, geometry.x as lng,
-    case when regexp_full_match(validfrom, '[0-9]{{13}}') then cast(validfrom as bigint) end as start_ms,
-    case when regexp_full_match(validto, '[0-9]{{13}}') then cast(validto as bigint) end as end_ms,
-    case when regexp_full_match(creationtime, '[0-9]{{13}}') then cast(creationtime as bigint) end as created_ms,
+    {instant("validfrom", "zone_name", "day_first")} as start_ms, {instant("validto", "zone_name", "day_first")} as end_ms, {instant("creationtime", "zone_name", "day_first")} as created_ms,
     coalesce(trim(organisation, ' '), '') as operator, lower({_SQUASH % "coalesce(worksstate, '')"}) as status, coalesce(trim(workscategory, ' '), '') as category,
     coalesce(nullif(lower(coalesce(trim(severity, ' '), '')), ''), 'unknown') as severity, coalesce(trim(networkmanagement, ' '), '') as restrictions,
-    upper(coalesce(trim(referenceno, ' '), '')) as reference, lower(coalesce(trim(urgent, ' '), '')) = 'true' as urgent
-  from roadworks),
-live as (select * from works where snapshot_no = (select max(snapshot_no) from works))
+    upper(coalesce(trim(referenceno, ' '), '')) as reference, lower(coalesce(trim(urgent, ' '), '')) = 'true' as urgent,
+    coalesce(trim(managementtype, ' '), '') as management, coalesce(trim(trafficconstriction, ' '), '') as constriction, coalesce(trim(impactdelays, ' '), '') as impact, coalesce(trim(publiccomment, ' '), '') as description, snapshot_at
+  from roadworks left join feeds using (feed)),
+newest as (select * from works where snapshot_no = (select max(snapshot_no) from works)),
+live as (select * exclude (rn) from (select *, row_number() over (partition by reference order by cast(status = 'works started' as int) desc, id) as rn from newest where reference <> ''
+    union all select *, row_number() over (partition by road, operator, start_ms, end_ms order by id) as rn from newest where reference = '') where rn = 1)
 """
 W = f"with {_WORKS}"
+_REGISTER = f"""{W}, keyed as (select *, coalesce(nullif(reference, ''), concat_ws('|', road, operator, coalesce(cast(start_ms as varchar), ''))) as key from works where snapshot_no is not null),
+  nos as (select snapshot_no, lead(taken) over (order by snapshot_no) as completed_ms, lead(taken) over (order by snapshot_no) is null as active from (select snapshot_no, max(epoch_ms(snapshot_at)) as taken from keyed group by all)),
+  held as (select *, row_number() over (partition by key order by snapshot_no desc, cast(status = 'works started' as int) desc, case when reference <> '' then id else -id end) as rn from keyed),
+  register as (select held.*, completed_ms, active, cast(floor((completed_ms - start_ms) / 86400000.0) as bigint) as actual_days, {_FDAYS} as days,
+    cast(floor(((select max(epoch_ms(snapshot_at)) from works) - completed_ms) / 86400000.0) as bigint) as ago from held join nos using (snapshot_no) where rn = 1)"""
 
 
 def _hav(a: str, b: str, c: str, d: str) -> str:
@@ -36,7 +42,8 @@ _LAYER = "layer_pts as (select row_id, lat as olat, lng as olng, upper(substr(tr
 _NEAR = f"{_COUNTERS}, {_LAYER}, near as (select c.count_point_id, l.row_id, l.kind, {_hav('c.lat', 'c.lng', 'l.olat', 'l.olng')} as dm from counters c join layer_pts l on l.olat between c.lat - 0.02 and c.lat + 0.02)"
 _ROWNEAR = f"{_COUNTERS}, near as (select r.row_id, c.count_point_id, c.all_motor_vehicles, {_hav('r.lat', 'r.lng', 'c.lat', 'c.lng')} as dm from road_status r join counters c on c.lat between r.lat - 0.02 and r.lat + 0.02)"
 _DAYS = f"days as (select unnest(range({_AS_OF - 89}, {_AS_OF + 1})) as day)"
-_HOUR = f"{W}, h as (select id, road, coalesce(cast(floor((start_ms % {_DAY}) / 3600000.0) as int), 0) as a, coalesce(cast(floor((end_ms % {_DAY}) / 3600000.0) as int), 0) as b, status from works)"
+_HOUR = f"{W}, h as (select id, road, coalesce(cast(floor((start_ms % {_DAY}) / 3600000.0) as int), 0) as a, coalesce(cast(floor((end_ms % {_DAY}) / 3600000.0) as int), 0) as b, status, start_ms, end_ms from works)"
+_ON_DAY = f"floor(start_ms / {_DAY}.0) <= {_AS_OF} and floor(end_ms / {_DAY}.0) >= {_AS_OF}"
 _HOUR_ON = "(a = 0 or (%s >= a and %s <= case when b = 0 then 23 else b end))"
 _SPANS = f"spans as (select row_id, lower({_SQUASH % 'road'}) as road, epoch_ms(start_date) as s, epoch_ms(end_date) as t, lat, lng from road_status)"
 _PAIRS = f"{_SPANS}, o as (select *, coalesce(s, -9000000000000000) as s1, coalesce(t, 9000000000000000) as t1 from spans where road is not null), pairs as (select x.road, x.row_id as a, y.row_id as b from o x join o y on x.road = y.road and x.row_id < y.row_id and x.s1 <= x.t1 and y.s1 <= y.t1 and x.s1 <= y.t1 and y.s1 <= x.t1)"
@@ -46,7 +53,8 @@ _HEAT = f"""{W}, d as (select unnest(range({_AS_OF}, {_AS_OF + 7})) as day), n a
   heat as (select day, h as hour, round_even(cast({_PROFILE}[h + 1] as double) + case when h between 7 and 18 then least(n * 0.15::double, 3.0::double) else 0.0 end
     + case when day = {_AS_OF + 6} and h = 15 then 4.0 when day = {_AS_OF + 6} and h = 16 then 2.5 else 0.0 end, 2) as flow from n, (select unnest(range(0, 24)) as h))"""
 _KEYED = f"""{W}, k as (select *, coalesce(nullif(reference, ''), concat_ws('|', road, operator, coalesce(cast(start_ms as varchar), ''))) as key from works),
-  nos as (select snapshot_no, row_number() over (order by snapshot_no desc) as age from (select distinct snapshot_no from works) order by snapshot_no desc limit 3), aged as (select k.*, age from k join nos using (snapshot_no))"""
+  nos as (select snapshot_no, row_number() over (order by snapshot_no desc) as age from (select distinct snapshot_no from works where snapshot_no is not null)), aged as (select k.*, age from k join nos using (snapshot_no)),
+  lost as (select distinct o.key, o.age from aged o where o.age > 1 and not exists (select 1 from aged n where n.key = o.key and n.age = o.age - 1))"""
 _KIND_SCORE = "sum(case when kind = 'Open' and dm < 300.0 then 2.0 when kind = 'Closed' and dm < 800.0 then 8.0 when kind = 'Restricted' and dm < 500.0 then 5.0 else 0.0 end)"
 _STRICT_RING = """ring as (select ons_code, cast(substr(ons_code, 4, 6) as int) as ord, coordinates as r, len(coordinates) as n from burnley_ceds),
 edge as (select ons_code, ord, r[i][1] as ax, r[i][2] as ay, r[i % n + 1][1] as xb, r[i % n + 1][2] as yb from (select *, unnest(range(1, n + 1)) as i from ring)),
@@ -54,10 +62,11 @@ inside as (select row_id, ons_code, ord from road_status p join edge on ((ay > l
 
 SQL = {
     "works_flat": f"{W} select id, road, ward, district, start_ms, end_ms, severity, urgent, reference from works",
-    "restriction_labels": rf"""{W}, l as (select id, restrictions, lower(regexp_replace(restrictions, '([a-z])([A-Z])', '\1 \2', 'g')) as x, {_FDAYS} as d from works)
-      select id, upper(substr(x, 1, 1)) || substr(x, 2) as label, case when lower(restrictions) like '%closed%' then 'full' when lower(restrictions) like '%lane%' then 'lane' when lower(restrictions) like '%light%' then 'lights' else 'minor' end as kind,
+    "restriction_labels": rf"""{W}, l as (select id, restrictions, regexp_replace(restrictions, '([a-z])([A-Z])', '\1 \2', 'g') as x, {_FDAYS} as d from works)
+      select id, case when x = '' then 'None' else upper(substr(x, 1, 1)) || substr(x, 2) end as label, case when lower(restrictions) like '%closed%' then 'full' when lower(restrictions) like '%lane%' then 'lane' when lower(restrictions) like '%light%' then 'lights' else 'minor' end as kind,
       case when d >= 30 then 'long' when d >= 7 then 'medium' else 'short' end as length,
-      case when d is null or d <= 0 then '' when d = 1 then '1 day' when d < 14 then d || ' days' when d < 60 then cast(floor(d / 7.0) as bigint) || ' wk' else cast(floor(d / 30.0) as bigint) || ' mo' end as duration from l""",
+      case when coalesce(d, 0) <= 1 then '1 day' when d < 7 then d || ' days' when d < 11 then '1 wk' when d < 30 then cast(floor(d / 7.0::double + 0.5::double) as bigint) || ' wks' when d < 45 then '1 mo'
+        else cast(floor(d / 30.0::double + 0.5::double) as bigint) || ' mos' end as duration from l""",
     "keyword_flags": """with t as (select *, lower(text) as x from documents) select doc_id, coalesce(contains(x, 'bridge') or contains(x, 'drain') or contains(x, 'lights') or contains(x, 'diversion'), false) as any_hit,
       coalesce(cast(contains(x, 'bridge') as int) + cast(contains(x, 'drain') as int) + cast(contains(x, 'lights') as int) + cast(contains(x, 'diversion') as int), 0) as hits,
       coalesce((contains(lower(road), lower(topic)) or contains(lower(topic), lower(road))) and road <> '' and topic <> '', false) as alike,
@@ -75,23 +84,26 @@ SQL = {
     "ring_means": """with t as (select ons_code, [v[1] for v in coordinates] as x, [v[2] for v in coordinates] as y from burnley_ceds)
       select ons_code, round_even(list_sum(x) / len(x), 4) as lng, round_even(list_sum(y) / len(y), 4) as lat, round(list_min(x) - (list_max(x) - list_min(x)) * 0.1::double, 6) as west, round(list_max(y) + (list_max(y) - list_min(y)) * 0.1::double, 6) as north from t""",
     "svg_paths": "select ons_code, 'M' || array_to_string([cast(cast(round((v[1] + 2.0::double) * 100.0::double) as int) as varchar) || ',' || cast(cast(round((53.5::double - v[2]) * 100.0::double) as int) as varchar) for v in coordinates], ' L') || 'Z' as path from burnley_ceds",
-    "operator_league": f"""{W}, w as (select *, snapshot_no = (select max(snapshot_no) from works) as act, {_FDAYS} as days, coalesce(created_ms > start_ms, false) as ov from works)
+    "operator_league": f"""{_REGISTER}, w as (select * replace (coalesce(nullif(operator, ''), 'Unknown') as operator), active as act, coalesce(days > 0 and actual_days > days, false) as ov from register)
       select operator, count(*) filter (act) as active, count(*) filter (not act) as completed, count(*) as total, round_even(avg(cast(days as double)) filter (days > 0), 1) as avg_days,
-      round_even(100.0::double * count(*) filter (not act and ov) / nullif(count(*) filter (not act), 0), 1) as overrun_pct, round_even(100.0::double * count(*) filter (severity = 'high') / count(*), 1) as high_pct, count(distinct district) as areas from w group by operator""",
+      round_even(100.0::double * count(*) filter (not act and ov) / nullif(count(*) filter (not act), 0), 1) as overrun_pct, round_even(100.0::double * count(*) filter (severity = 'high') / count(*), 1) as high_pct, count(distinct nullif(district, '')) as areas from w group by operator""",
+    "district_volume": f"""{_REGISTER}, g as (select coalesce(nullif(district, ''), 'unknown') as district, count(*) filter (active) as active, count(*) filter (not active and ago between 0 and 30) as last_30d, count(*) filter (not active and ago between 0 and 90) as last_90d from register group by all)
+      select *, case when last_30d > last_90d / 3.0::double * 1.2::double then 'increasing' when last_30d < last_90d / 3.0::double * 0.8::double then 'decreasing' else 'stable' end as trend from g""",
+    "severity_trends": f"{_REGISTER} select severity, count(*) filter (active) as current, count(*) filter (not active and ago <= 30) as completed_30d from register group by all",
     "supplier_league": """with j as (select n_name, o_orderstatus = 'O' as act, o_orderkey % 40 as days, l_shipdate > o_orderdate as ov, o_orderpriority, o_custkey from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)
       select n_name, count(*) filter (act) as active, count(*) filter (not act) as completed, count(*) as total, round_even(avg(cast(days as double)) filter (days > 0), 1) as avg_days,
       round_even(100.0::double * count(*) filter (not act and ov) / nullif(count(*) filter (not act), 0), 1) as overrun_pct, round_even(100.0::double * count(*) filter (o_orderpriority = '1-URGENT') / count(*), 1) as high_pct, count(distinct o_custkey) as areas from j group by n_name""",
     "group_counts_default": "select coalesce(nullif(trim(ward, ' '), ''), 'Unknown') as key, count(*) as n from fixmystreet group by all",
     "category_counts": "select coalesce(nullif(trim(service_code, ' '), ''), 'Other') as key, count(*) as n from fixmystreet group by all",
-    "district_pivot_counts": f"""{W} select district, count(*) as total, count(*) filter (status = 'works started') as started, count(*) filter (status = 'works planned') as planned,
-      count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low from live group by district""",
+    "district_pivot_counts": f"""{W} select coalesce(nullif(district, ''), 'unknown') as district, count(*) as total, count(*) filter (status = 'works started') as started, count(*) filter (status = 'works planned') as planned,
+      count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low from live group by all""",
     "volume_trend": """with t as (select c_mktsegment, o_orderstatus = 'O' as act, 10957 - floor(epoch_ms(o_orderdate) / 86400000.0) as ago from orders join customer on o_custkey = c_custkey),
       g as (select c_mktsegment, count(*) filter (act) as active, count(*) filter (not act and ago between 0 and 30) as last_30d, count(*) filter (not act and ago between 0 and 90) as last_90d from t group by all)
       select *, case when last_30d > last_90d / 3.0::double * 1.2::double then 'increasing' when last_30d < last_90d / 3.0::double * 0.8::double then 'decreasing' else 'stable' end as trend from g""",
     "severity_zero_filled": f"{W} select coalesce(s, severity) as severity, count(severity) as n from live full join (select unnest(['high', 'medium', 'low', 'unknown', 'none']) as s) on s = severity group by all",
-    "duration_stats": f"""{W}, t as (select category, {_FDAYS} as days from works), u as (select category, days from t union all select '(all)', days from t)
-      select category, count(*) as n, round_even(avg(cast(days as double)), 1) as avg_days, median(cast(days as double)) as median_days, max(days) as max_days from u where days > 0 and days < 3650 group by category""",
-    "longest_running": f"{W}, t as (select id, road, {_FDAYS} as days from works) select * from t where days > 90 order by days desc, id limit 20",
+    "duration_stats": f"""{_REGISTER}, t as (select category, days from register), u as (select category, days from t union all select '(all)', days from t)
+      select category, count(*) as n, round_even(avg(cast(days as double)), 1) as avg_days, cast(round_even(median(cast(days as double)), 0) as bigint) as median_days, max(days) as max_days from u where days > 0 and days < 3650 group by category""",
+    "longest_running": f"{W}, t as (select id, road, cast(floor(((select max(epoch_ms(snapshot_at)) from works) - start_ms) / 86400000.0) as bigint) as days from live) select * from t where days > 90 order by days desc, id limit 20",
     "overdue": f"{W}, t as (select id, cast(floor(({_AS_OF * _DAY} / 1000.0::double - end_ms / 1000.0::double) / 86400.0) as bigint) as days_overdue from live where end_ms < {_AS_OF * _DAY}) select *, (select count(*) from t) as overdue_count from t order by days_overdue desc, id limit 30",
     "distinct_areas": f"{W} select count(distinct district) as districts, count(distinct ward) as wards, count(distinct operator) as operators from works",
     "argmax_latest": "select o_custkey, o_orderkey, epoch_ms(o_orderdate) // 1000 as at from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn = 1",
@@ -110,7 +122,7 @@ SQL = {
     "dedupe_first": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as rn from lineitem) where rn = 1""",
     "dedupe_preferred": f"""{W}, w as (select * from works where road <> ''), a as (select id, reference, row_number() over (partition by reference order by cast(status = 'works started' as int) desc, id) as rn from w where reference <> ''),
       b as (select id, reference, row_number() over (partition by road, operator, start_ms, end_ms order by id) as rn from w where reference = '') select id, reference from (select * from a union all select * from b) where rn = 1""",
-    "snapshot_archive": f"""{_KEYED}, g as (select *, row_number() over (partition by key order by id) as rn from aged where age = 2 and key not in (select key from aged where age <> 2)) select id, key from g where rn = 1""",
+    "snapshot_archive": f"""{_KEYED}, g as (select *, row_number() over (partition by key order by id desc) as rn from aged where age = 2 and key in (select key from lost where age = 2) and key not in (select key from lost where age > 2)) select id, key from g where rn = 1""",
     "fallback_union": "select s_nationkey as k, s_name as name from supplier union all select c_nationkey, c_name from customer where c_nationkey not in (select s_nationkey from supplier)",
     "fill_missing": """with o as (select road_name, min(nullif(trim(start_junction_road_name), '')) as v from count_points group by all)
       select count_point_id, c.road_name, coalesce(nullif(trim(start_junction_road_name), ''), v) as start_junction_road_name from count_points c left join o using (road_name)""",
@@ -118,13 +130,14 @@ SQL = {
     "severity_sort_topn": f"{W} select id, severity, district, road from works order by case severity when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 9 end, district, road, id limit 25",
     "facet_page": f"""{W}, t as (select id, road, start_ms from works where severity = 'high' and contains(lower(road), 'road') and start_ms <= {_AS_OF * _DAY} and end_ms >= {(_AS_OF - 90) * _DAY})
       select * from t order by start_ms, id limit 15 offset (select (least(2, greatest(1, cast(ceil(count(*) / 15.0) as bigint))) - 1) * 15 from t)""",
-    "facet_hour": f"{_HOUR} select id, road from h where status = 'works started' and {_HOUR_ON % (8, 8)}",
+    "facet_hour": f"{_HOUR} select id, road from h where {_ON_DAY} and status = 'works started' and {_HOUR_ON % (8, 8)}",
     "facet_sorted": f"{W} select id from works order by end_ms - start_ms desc nulls last, id limit 30 offset 60",
     "featured_or_latest": f"select doc_id from documents order by {_FEATURED} desc, published desc nulls last, doc_id limit 1",
     "all_but_featured": "select doc_id from documents where doc_id <> (select doc_id from documents order by published desc nulls last, doc_id limit 1)",
     "road_search": f"{W} select id, road, lat, lng from works where contains(lower(road), 'bramble') order by id limit 1",
     "active_on_day": f"{W} select id, road from works where floor(start_ms / {_DAY}.0) <= {_AS_OF} and floor(end_ms / {_DAY}.0) >= {_AS_OF}",
-    "hourly_strip": f"{_HOUR} select cast(hr as int) as hour, count(id) as n from (select unnest(range(0, 24)) as hr) left join h on {_HOUR_ON % ('hr', 'hr')} group by all",
+    "hourly_strip": f"""{_HOUR}, c as (select cast(hr as int) as hour, count(id) as n from (select unnest(range(0, 24)) as hr) left join (select * from h where {_ON_DAY} and id in (select id from live)) on {_HOUR_ON % ('hr', 'hr')} group by all), m as (select min(n) as lo, max(n) as hi from c)
+      select hour, n, cast(floor(6.0::double + coalesce((n - lo) / nullif(hi - lo, 0), 0.0::double) * 38.0::double + 0.5::double) as bigint) as height, hour = (select min(hour) from c where n = (select hi from m)) as is_peak from c, m""",
     "daily_density": f"{W}, {_DAYS} select day, count(id) as n from days left join works on floor(start_ms / {_DAY}.0) <= day and floor(end_ms / {_DAY}.0) >= day group by all",
     "stacked_90d": f"""{W}, {_DAYS}, s as (select unnest(['high', 'medium', 'low', 'unknown']) as severity, unnest([1, 2, 3, 4]) as o),
       c as (select s.severity, day, o, count(id) as n from s cross join days left join works w on w.severity = s.severity and floor(start_ms / {_DAY}.0) <= day and floor(end_ms / {_DAY}.0) >= day group by all)
