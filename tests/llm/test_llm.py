@@ -89,7 +89,7 @@ def brute_marginals(scores, trans, start, skip, edges):
     t, k = scores.shape
     out, total = np.zeros((t, k)), 0.0
     for y in itertools.product(range(k), repeat=t):
-        s = start[y[0]] + sum(scores[i, y[i]] for i in range(t)) + sum(trans[a, b] for a, b in zip(y, y[1:])) + sum(skip[y[a]] for a, b in edges if y[a] == y[b])
+        s = start[y[0]] + sum(scores[i, y[i]] for i in range(t)) + sum(trans[a, b] for a, b in zip(y, y[1:])) + sum(skip[y[a], y[b]] for a, b in edges)
         w = np.exp(s)
         total += w
         for i in range(t):
@@ -100,7 +100,7 @@ def brute_marginals(scores, trans, start, skip, edges):
 def test_marginals_brute_force():
     rng = np.random.default_rng(3)
     k = 3
-    scores, trans, start, skip = rng.normal(size=(2, 5, k)).astype(np.float32), rng.normal(size=(k, k)).astype(np.float32), rng.normal(size=k).astype(np.float32), np.array([0.0, 0.6, 0.9], dtype=np.float32)
+    scores, trans, start, skip = rng.normal(size=(2, 5, k)).astype(np.float32), rng.normal(size=(k, k)).astype(np.float32), rng.normal(size=k).astype(np.float32), np.array([[0.2, -0.3, 0.1], [-0.4, 0.6, 0.0], [0.3, -0.2, 0.9]], dtype=np.float32)
     types, lengths = np.zeros((2, 5), dtype=np.int32), np.array([5, 3])
     plain = crf.marginals(crf.Chains(types, lengths), scores, trans, start, skip)
     for b in range(2):
@@ -146,17 +146,45 @@ def test_redaction_keeps_the_rest():
     assert pii.redact(text, []) == text
 
 
-def test_held_out_accuracy():
+def _backgrounds():
+    return [[f"{a} {b}", f"{c}.", "It has been so for weeks."] for a in ("Pothole", "Broken lamp", "Blocked drain") for b in ("on Mill Lane", "near the shop", "by the bridge") for c in ("The water runs into the cellar", "Cars swerve to avoid it", "Nobody has come yet")]
+
+
+def test_skip_edges_carry_weight():
+    """Persons and places that are named twice, once in doubt, by names that no training has seen: without the skip edges
+    far fewer are right."""
+    from wayledger.llm import pii_training as t
+
+    model = crf.Model(*pii.load_model())
+    cases = t.two_mentions(random.Random(99), _backgrounds(), ["Mill"], 600)
+    persons, places = t.skip_figures(model, cases)
+    persons0, places0 = t.skip_figures(t.without_skips(model), cases)
+    assert persons >= 0.95 and places >= 0.95, (persons, places)
+    assert persons0 < persons - 0.1 and places0 < places - 0.2, (persons0, places0)
+
+
+def test_names_outside_of_training():
     from wayledger.llm import pii_training as t
 
-    rng = random.Random(9)
-    frames = ["Regards, {n}.", "I spoke to {n} about it.", "The sign points to {f} Park.", "Call {p} after six.", "Your reference was 123-456.", "It floods near the chapel.", "The van of {n} is there, ask {n}."]
-    texts = [rng.choice(frames).format(n=f"{rng.choice(t.GIVEN)} {f}", f=f, p=f"07700 900{rng.randrange(100, 1000)}") for f in rng.choices(t.FAMILY, k=700)]
-    docs, labels = t.examples(texts, rng, renamed=0.3, blank=1.0)
-    model = crf.train(docs[:500], labels[:500], epochs=8)
-    got = model.label(docs[500:])
-    right = sum(np.array_equal(g if len(g) else np.zeros(len(y)), y) for g, y in zip(got, labels[500:]))
-    assert right >= 0.97 * len(labels[500:])
+    rng, found, all_ = random.Random(123), 0, 0
+    forms = ["Regards, {n}.", "My name is {n}.", "I spoke to {n} about it.", "Please contact {n}.", "(reported by {n})", "this is {n} from Mill Lane", "The car belongs to {n}."]
+    texts = []
+    for _ in range(500):
+        name = t.written(rng, t.person(rng, 0.0))
+        form = rng.choice(forms)
+        texts.append("Pothole on Mill Lane" + pii.BREAK + "It floods. " + form.format(n=name) + " Nobody came.")
+    got = pii.find(crf.Model(*pii.load_model()), texts)
+    assert sum(any(k == "name" for *_, k in f) for f in got) >= 0.95 * len(texts)
+
+
+def test_links_between_similar_tokens():
+    kinds = crf.Kinds()
+    words = [" Dravel", " Morthen", " saw", " D", ".", " MORTHEN", " Morthem", " 415", " 415", " it", " it"]
+    for w in words:
+        kinds.add(w, frozenset({"saw", "it"}))
+    c = crf.chains([list(range(len(words)))], kinds)
+    edges = {(int(a), int(b)) for _, a, b in c.edges}
+    assert {(1, 5), (5, 6), (0, 3), (7, 8)} <= edges and not any({9, 10} & set(e) for e in edges)
 
 
 # ---- 8
@@ -179,6 +207,19 @@ def test_balanced_brute_force(seed):
     assert sorted(capacity - np.array(room)) == sorted(used)
 
 
+def test_evened_keeps_the_containers_and_lowers_the_cost():
+    from wayledger.llm.packing import evened
+
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(5, 200, 1500)
+    place = tightest(sizes, 512)
+    even = evened(sizes, place, 512)
+    cost = lambda p: np.bincount(p, weights=sizes + sizes.astype(float) ** 2 / 2048)
+    assert even.max() == place.max() and np.bincount(even, weights=sizes).max() <= 512
+    assert cost(even).max() <= cost(place).max() and cost(even).std() < 0.6 * cost(place).std()
+    assert np.array_equal(evened(sizes[:1], np.zeros(1, dtype=np.int64), 512), [0]) and len(evened(sizes[:0], np.zeros(0, dtype=np.int64), 512)) == 0
+
+
 @pytest.mark.parametrize("most", [10, 60, 100])
 def test_assign_is_tight(most):
     rng = np.random.default_rng(most)
@@ -238,10 +279,15 @@ def test_mix(spark):
     targets = spark.createDataFrame([("big source", 0.4, 1), ("SMALL", 0.6, 3)], "source string, target_share double, max_repeats int")
     plan = plan_mix(docs, targets)
     mixed = mix(docs, plan)
+    assert all(p.documents for p in plan.values())
     report = {r.source: r for r in shares(mixed, plan).collect()}
     assert abs(report["big_source"].actual_share - 0.4) < 0.01 and report["small"].most_repeats <= 3 and "untargeted" not in report
     assert mixed.groupBy("doc_id").count().where("count > 1").count() == 0
     assert sorted(map(tuple, mixed.collect()), key=repr) == sorted(map(tuple, mix(docs.repartition(7), plan).collect()), key=repr)
+    capped = spark.createDataFrame([("big source", 0.2, 2), ("small", 0.8, 1)], "source string, target_share double, max_repeats int")
+    clamped = plan_mix(docs, capped, "all")
+    assert clamped["small"].wanted == clamped["small"].available and clamped["big_source"].wanted > 0.2 * clamped["small"].available
+    assert {r.repeats for r in mix(docs, clamped).where("source = 'small'").collect()} == {1}
     empty = plan_mix(docs.limit(0), targets)
     assert mix(docs.limit(0), empty).count() == 0 and shares(mix(docs.limit(0), empty), empty).count() == 2
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayledger.functions.text import source_key
+from wayledger.session import broadcast_if_small
 
-#: Ranges of the seeded hash by which a source's fraction is found; only one of them is looked at row by row.
-RANGES = 4096
+#: Ranges of the seeded hash by which a source's fraction is found are made so many that one holds about so many documents
+#: of the largest source; only one range of a source is looked at row by row.
+RANGE_DOCUMENTS, LEAST_RANGES = 20_000, 1024
 
 
 @dataclass(frozen=True)
@@ -20,6 +23,7 @@ class Share:
     available: int
     max_repeats: int
     wanted: float  # tokens that the mixture takes from the source
+    documents: int = 0
 
     @property
     def epochs(self) -> float:
@@ -53,12 +57,16 @@ def water_fill(targets: dict[str, tuple[float, int, int]], total: float | None =
     return {s: Share(s, float(w or 0), a, m, wanted[s]) for s, (w, m, a) in targets.items()}
 
 
-def plan_mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> dict[str, Share]:
+def plan_mix(docs: DataFrame, targets: DataFrame, total: float | str | None = None) -> dict[str, Share]:
     """water_fill over sums made on the executors. The targets are one row a source; sources are equal ignoring case,
-    outer blanks and joining signs."""
-    have = {r[0]: int(r[1]) for r in docs.groupBy("source").agg(F.sum("tokens")).collect()}
+    outer blanks and joining signs. total: tokens of the mixture; 'all' for as many as the targets' sources have."""
     want = {r[0]: (r[1] or 0.0, r[2] or 0) for r in targets.select(source_key("source"), "target_share", "max_repeats").collect() if r[0] is not None}
-    return water_fill({s: (w, m, have.get(s, 0)) for s, (w, m) in want.items()}, total)
+    sums = docs.where(F.col("source").isin(*want)).groupBy("source").agg(F.sum("tokens"), F.count("*")).collect() if want else []  # a row a target
+    have = {r[0]: (int(r[1] or 0), int(r[2])) for r in sums}
+    if total == "all":
+        total = float(sum(tokens for tokens, _ in have.values()))
+    plan = water_fill({s: (w, m, have.get(s, (0, 0))[0]) for s, (w, m) in want.items()}, total)
+    return {s: replace(p, documents=have.get(s, (0, 0))[1]) for s, p in plan.items()}
 
 
 def mix(docs: DataFrame, plan: dict[str, Share], key: str = "doc_id", seed: int = 17) -> DataFrame:
@@ -72,14 +80,15 @@ def mix(docs: DataFrame, plan: dict[str, Share], key: str = "doc_id", seed: int
     """
     rows = [(s, int(p.epochs + 1e-9), max(0.0, p.wanted - int(p.epochs + 1e-9) * p.available), p.max_repeats) for s, p in plan.items()]
     spark = docs.sparkSession
+    ranges = max(LEAST_RANGES, math.ceil(max((p.documents for p in plan.values()), default=0) / RANGE_DOCUMENTS))
     epochs = F.broadcast(spark.createDataFrame(rows or [("", 0, 0.0, 0)], "source string, whole int, part double, most int"))  # a row a target
     own = docs.select(key, "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-    own = own.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.pmod("_h", F.lit(RANGES))).join(epochs, "source")
+    own = own.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.pmod("_h", F.lit(ranges))).join(epochs, "source")
     sums = own.groupBy("source", "_range").agg(F.sum("tokens").alias("_sum"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    placed = own.join(F.broadcast(before), ["source", "_range"])  # targets x RANGES rows at most
-    edge = sums.withColumnRenamed("_sum", "_in")
-    placed = placed.join(F.broadcast(edge), ["source", "_range"])
+    # targets x ranges rows at most, a row for RANGE_DOCUMENTS documents
+    before = before.join(sums.withColumnRenamed("_sum", "_in"), ["source", "_range"])
+    placed = own.join(broadcast_if_small(before, 500_000), ["source", "_range"])
     whole_range = F.col("_before") + F.col("_in") <= F.col("part")
     at_edge = ~whole_range & (F.col("_before") < F.col("part"))
     running = F.sum("tokens").over(Window.partitionBy("source", "_range").orderBy("_h", key))

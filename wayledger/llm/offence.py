@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -25,7 +26,7 @@ _DIGIT_LETTER = str.maketrans("4310$57@", "aeiossta")
 _MIXED = re.compile(r"[^\s.,;:!?]*[$@0-9][^\s.,;:!?]*")
 _SPREAD = re.compile(r"\b(?:[a-z*](?:[ \-_.*]))+[a-z]{1,3}\b")
 _REPEAT = re.compile(r"([a-z])\1{2,}")
-_TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|&#[0-9]{1,6};")
+_TAG = re.compile(r"</?[a-z!][^<>]*>|&[a-z]{2,6};|&#[0-9]{1,6};")
 _STOP = re.compile(r"[.!?\n\r]+(?=\s|$)|\n+")
 _BLANKS = re.compile(r"\s+")
 #: Characters of a piece of a run without a stop at most, and of a statement, by which neighbouring pieces overlap at least.
@@ -40,11 +41,8 @@ def _mixed(m: re.Match) -> str:
     return re.sub("[0-9]", "0", t)
 
 
-def sentences(text: str) -> list[str]:
-    """A text's sentences in plain lower-case letters: look-alike characters, digits that stand for letters, letters
-    spread out or drawn out, and marks of other scripts' letters are put back. Runs of over PIECE characters without a
-    stop are cut at blanks into pieces that overlap, so that any STATEMENT characters of a run stand in one piece.
-    What holds no letter counts from 8 characters on."""
+def runs(text: str) -> list[str]:
+    """The runs of a text between stops, in lower case, without markup, look-alike characters and marks on letters."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_LOOKALIKE)
@@ -52,42 +50,49 @@ def sentences(text: str) -> list[str]:
             text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
+    return _STOP.split(text)
+
+
+def pieces(run: str) -> list[str]:
+    """The sentences of a run in plain letters: digits that stand for letters, letters spread out or drawn out are put
+    back. Runs of over PIECE characters are cut at blanks into pieces that overlap, so that any STATEMENT characters of a
+    run stand in one piece. What holds no letter counts from 8 characters on."""
+    s = _MIXED.sub(_mixed, run)
+    s = _REPEAT.sub(r"\1", s)
+    s = _SPREAD.sub(lambda m: re.sub(r"[ \-_.]", "", m.group(0)), s)
+    s = _BLANKS.sub(" ", s).strip(" ,;:-\"'()[]")
     out = []
-    for s in _STOP.split(text):
-        s = _MIXED.sub(_mixed, s)
-        s = _REPEAT.sub(r"\1", s)
-        s = _SPREAD.sub(lambda m: re.sub(r"[ \-_.]", "", m.group(0)), s)
-        s = _BLANKS.sub(" ", s).strip(" ,;:-\"'()[]")
-        while len(s) > PIECE:
-            at = s.rfind(" ", PIECE - 60, PIECE)
-            at = at if at > 0 else PIECE
-            out.append(f" {s[:at].strip()} ")
-            back = s.rfind(" ", PIECE - 60 - STATEMENT, at - STATEMENT + 1)  # not nearer than 60, so that few pieces cover a place
-            s = s[back if back > 0 else at - STATEMENT :]
-        s = s.strip()
-        if len(s) >= 8 or any(ch.isalpha() for ch in s):
-            out.append(f" {s} ")
+    while len(s) > PIECE:
+        at = s.rfind(" ", PIECE - 60, PIECE)
+        at = at if at > 0 else PIECE
+        out.append(f" {s[:at].strip()} ")
+        back = s.rfind(" ", PIECE - 60 - STATEMENT, at - STATEMENT + 1)  # not nearer than 60, so that few pieces cover a place
+        s = s[back if back > 0 else at - STATEMENT :]
+    s = s.strip()
+    if len(s) >= 8 or any(ch.isalpha() for ch in s):
+        out.append(f" {s} ")
     return out
 
 
-#: Hand-labelled sentences, invented for this file, that anchor the machine where few documents are labelled.
+def sentences(text: str) -> list[str]:
+    """A text's sentences in plain lower-case letters."""
+    return [s for run in runs(text) for s in pieces(run)]
+
+
+#: Sentences written for this file, from common knowledge of such language and not from any table, that anchor the machine
+#: where few documents are labelled.
 ABUSIVE = """
-you are a complete moron and a coward | shut up you stupid idiot | go to hell you worthless bastards | drop dead you ugly cretin | what a bunch of lazy tossers you are
-the planners are nothing but pathetic wankers | piss off you brain-dead twats | nobody wants you here you filthy scumbag | crawl back under your rock you lowlife
-i will smash your face in just wait | somebody should break their legs | i hope you all choke and die | we will burn your house down | i will run you over with my van
-foreigners are vermin and should be driven out | immigrants breed like rats | those people are subhuman parasites | old people should be put down | women do not deserve to walk here
-their kind are a plague on our town | disabled people ought to be got rid of | people of that religion are animals | she was bent over the desk moaning | he rubbed his cock and groaned
-horny sluts want to ride you tonight | naked girls ready to suck you off | she spread her legs and screamed for more | wet pussy waiting for you | show us your tits you slut
-jestescie banda idiotow | wynocha stad smieci | zamknij morde debilu | twpsyn diwerth wyt ti | cer i grafu y diawl
+what an utter halfwit | get lost, pathetic loser | disgusting piece of shit | fuck off and leave us alone | everyone hates your guts, fat pig | fucking idiots, the lot of them | complete arsehole | stupid bitch | dirty whore | bloody wanker | thick as pigshit, the useless prick | shut your face, dickhead
+your mother should have drowned you at birth | we are going to kill you and your family | one more word and i'll knock your teeth out | watch your back, we know where you live | i hope you get cancer | burn in hell | you'll get a knife in your guts
+send them all back, the dirty scroungers | gays are an abomination | gypsies are thieves and filth | muslims are a disease | jews must be punished | blacks are less than human | cripples are a waste of money and should be gassed | a woman's place is under a man's boot | those savages are not fit to live
+he thrust into her while she begged for it | hot milf wants it hard | let me lick your naked breasts | hardcore porn of teens | masturbating in front of the camera | blowjobs for cash | she came all over his face
+ty glupia krowo | spierdalaj stad | pierdolony debil | kurwa mac | y bastard twp | dos i uffern
 """.replace("\n", "|").split("|")
 HARMLESS = """
-the committee condemned abuse of staff | police were told that a driver was threatened | a member withdrew the word idiotic and apologised | it is a bloody nuisance but the crew were kind
-the crew killed the power and shot the bolts | the killer bend claimed another bumper | hate crime awareness week starts on monday | the sexual health clinic has moved
-immigrants built this bridge | foreigners and visitors are welcome | the cock inn is open as usual | the ugly hoarding will stay | the old parapet uses bastard stone
-i nearly died laughing at the sign | the nuts and screws are stored wet | the dumb waiter is out of order | the road is shut and the queue is long | please repair the hole
-what a terrible surface this road has | this is the worst junction in town | i am fed up with the roadworks | the council should be ashamed of this delay | the damn lights are stuck again
-women and disabled people find the crossing hard | old people are afraid to walk there | the report says that a worker was called names | n/a | none | ok | yes | no | thanks
-na ulicy jest dziura | mae twll yn y ffordd
+the minutes were agreed | thank you for the quick repair | the tram was late this morning | when will it be finished | i am angry that no answer came | this is a disgrace and a waste of money | the paper reports a racist attack | a man was fined for shouting abuse at a nurse
+the charity helps victims of sexual violence | the chair regretted an offensive remark | pupils learned about the holocaust | breast screening is offered at the surgery | he was hit by a falling branch | shooting of the film closes the square | the terrier attacked a jogger | chicken breasts were reduced
+the cock crowed at dawn | the weather is bloody awful | damn, missed the train | kill the engine while parked | she shot the penalty over the bar | the hate was gone from his voice | an idiot-proof timetable | stupid me, wrong number | the dying elm was felled
+n/a | none | ok | yes | no | thanks | dziekuje za naprawe | diolch am y gwaith
 """.replace("\n", "|").split("|")
 
 
@@ -189,6 +194,19 @@ def fit(labelled: list[tuple[str, float]], seed: int = 5, rounds: int = 5) -> Ma
     return collapse(landmarks, root, w, b)
 
 
+_machines: dict[str, Machine] = {}
+
+
+def fitted(labelled: list[tuple[str, float]]) -> Machine:
+    """The machine of a labelled sample, fitted once in a session for each sample."""
+    mark = hashlib.sha256(repr(labelled).encode()).hexdigest()
+    if mark not in _machines:
+        if len(_machines) >= 8:
+            _machines.clear()
+        _machines[mark] = fit(labelled)
+    return _machines[mark]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[tuple[str, float]]:
     """(text, mean label) of at most `most` reviewed documents, the first in the order of a hash."""
     mean = labels.where("doc_id is not null and offensive is not null").groupBy("doc_id").agg(F.avg("offensive").alias("_y"))
@@ -207,27 +225,28 @@ def offence_scores(docs: DataFrame, machine: Machine, key: str = "doc_id", text:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*held.value)
+        known: dict[str, float] = {}  # runs that were scored before; texts and their sentences repeat
         for b in batches:
+            texts = b["text"].to_pylist()
             out = np.full(b.num_rows, -1.0)
-            part: list[str] = []
-            which: list[int] = []
-            size = 0
-
-            def close() -> None:
-                if part:
-                    np.maximum.at(out, np.array(which), np.maximum(own.scores(part), -1.0))
-                    part.clear()
-                    which.clear()
-
-            for i, t in enumerate(b["text"].to_pylist()):
-                for s in sentences(t) if t else ():
-                    part.append(s)
-                    which.append(i)
-                    size += len(s)
-                    if size > 1_000_000:
-                        close()
-                        size = 0
-            close()
+            lo = 0
+            while lo < len(texts):
+                hi, size, split = lo, 0, []
+                while hi < len(texts) and size < 4_000_000:
+                    split.append(runs(texts[hi]) if texts[hi] else [])
+                    size += len(texts[hi] or "")
+                    hi += 1
+                fresh = {run: pieces(run) for run in dict.fromkeys(run for own_runs in split for run in own_runs if run not in known)}
+                part = [s for found in fresh.values() for s in found]
+                which = np.repeat(np.arange(len(fresh)), [len(found) for found in fresh.values()])
+                best = np.full(len(fresh), -1.0)
+                for at in range(0, len(part), 8192):
+                    np.maximum.at(best, which[at : at + 8192], own.scores(part[at : at + 8192]))
+                known.update(zip(fresh, best.tolist()))
+                out[lo:hi] = [max([-1.0, *map(known.__getitem__, own_runs)]) for own_runs in split]
+                if sum(map(len, fresh)) + len(known) > 1_000_000 or len(known) > 100_000:
+                    known.clear()
+                lo = hi
             yield pa.RecordBatch.from_arrays([b["key"], pa.array(out)], ["key", "score"])
 
     kind = dict(docs.dtypes)[key]

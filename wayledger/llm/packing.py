@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Items that are packed together. A shard ends with a few containers that aren't full, so more items waste less.
 SHARD_ITEMS = 20_000
 
+#: Cheapest containers that the dearest one is paired with before it is left as it is.
+TRIES = 2
+
 #: Cost of a document of n tokens: LINEAR * n for the layers' products and QUADRATIC * n^2 for attention within it.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -63,9 +66,75 @@ def balanced(sizes: np.ndarray, capacity: int, n: int, linear: float = LINEAR, q
     return out
 
 
+def evened(sizes: np.ndarray, place: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC, turns: int = 12) -> np.ndarray:
+    """place with the costs of the containers evened out by moves and swaps, in as many containers and with none over its
+    capacity. The dearest container gives an item to one of the cheapest, or exchanges one with it, whichever lowers the dearer
+    of the two most; a dearest container that nothing helps is left as it is. turns bounds the work, in rounds over all
+    containers."""
+    n = int(place.max()) + 1 if len(place) else 0
+    if n < 2:
+        return place
+    cost_of = linear * sizes + quadratic * sizes.astype(np.float64) ** 2
+    held: list[list[int]] = [[] for _ in range(n)]
+    for i, k in enumerate(place.tolist()):
+        held[k].append(i)
+    room = capacity - np.bincount(place, weights=sizes, minlength=n)
+    cost = np.bincount(place, weights=cost_of, minlength=n)
+    dear = [(-c, k) for k, c in enumerate(cost.tolist())]
+    cheap = [(c, k) for k, c in enumerate(cost.tolist())]
+    heapq.heapify(dear)
+    heapq.heapify(cheap)
+    left = turns * n
+    while dear and left:
+        left -= 1
+        c, a = heapq.heappop(dear)
+        if -c != cost[a]:
+            continue  # out of date; the newer entry is in the heap too
+        while cheap and cheap[0][0] != cost[cheap[0][1]]:
+            heapq.heappop(cheap)
+        tried, done = [], False
+        for _ in range(TRIES):
+            if not cheap:
+                break
+            low, b = heapq.heappop(cheap)
+            tried.append((low, b))
+            if b == a or low != cost[b]:
+                continue
+            own, other = np.array(held[a]), np.array([*held[b], -1])  # -1: a move
+            size_b, cost_b = np.r_[sizes[other[:-1]], 0], np.r_[cost_of[other[:-1]], 0.0]
+            by = sizes[own][:, None] - size_b[None, :]
+            gain = cost_of[own][:, None] - cost_b[None, :]
+            dearer = np.where((by <= room[b]) & (-by <= room[a]) & (gain > 0), np.maximum(cost[a] - gain, cost[b] + gain), np.inf)
+            x, y = np.unravel_index(int(dearer.argmin()), dearer.shape)
+            if dearer[x, y] < cost[a] - 1e-9:
+                i, j = int(own[x]), int(other[y])
+                held[a].remove(i)
+                held[b].append(i)
+                if j >= 0:
+                    held[b].remove(j)
+                    held[a].append(j)
+                room[a] += by[x, y]
+                room[b] -= by[x, y]
+                cost[a] -= gain[x, y]
+                cost[b] += gain[x, y]
+                done = True
+                break
+        for entry in tried:
+            if entry[0] == cost[entry[1]]:
+                heapq.heappush(cheap, entry)
+        if done:
+            for k in (a, b):
+                heapq.heappush(dear, (-cost[k], k))
+                heapq.heappush(cheap, (cost[k], k))
+    out = np.empty_like(place)
+    for k, items in enumerate(held):
+        out[items] = k
+    return out
+
+
 def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container of each item, none larger than capacity: balanced by cost over as few containers as a tight packing
-    takes; the tight packing itself where balance would take more."""
+    takes. Where balance from the start would take more, the tight packing is evened out by moves and swaps."""
     if not len(sizes):
         return np.zeros(0, dtype=np.int64)
     tight = tightest(sizes, capacity)
@@ -75,7 +144,7 @@ def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
         even = balanced(sizes, capacity, n)
         if int(even.max()) + 1 <= n:
             return even
-    return tight
+    return evened(sizes, tight, capacity)
 
 
 def pack(items: DataFrame, item: str, size: str, containers: dict[str, int], shard_items: int = SHARD_ITEMS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -38,10 +39,10 @@ def plausible(kind: str, span: str) -> bool:
 
 
 def load_model(path: str | None = None) -> tuple:
-    """The parts of the trained field (features, weights, transitions, starts, skip agreements, common words)."""
+    """The parts of the trained field (features, weights, transitions, starts, label pairs over skip edges, common words)."""
     with np.load(path or Path(__file__).with_name("pii_model.npz")) as z:
         names = str(z["features"]).split("\n")
-        return {f: i for i, f in enumerate(names)}, z["weights"].astype(np.float32), z["trans"], z["start"], z["skip"], frozenset(str(z["common"]).split("\n"))
+        return {f: i for i, f in enumerate(names)}, z["weights"].astype(np.float32), z["trans"], z["start"], z["skip"], frozenset(str(z["common"]).split("\n")), z["shapes"].astype(np.float32)
 
 
 def find(model: crf.Model, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -80,7 +81,7 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[last:]
 
 
-_models: dict[int, crf.Model] = {}
+_models: dict[str, crf.Model] = {}
 
 
 def personal_information(df: DataFrame, key: str, fields: list[str], redacted: bool = False) -> DataFrame:
@@ -91,14 +92,16 @@ def personal_information(df: DataFrame, key: str, fields: list[str], redacted: b
     fields hold nothing and stay as they are; texts of any length are read whole; repeated rows give repeated results. No
     shuffle: the field, which is small and fixed, goes to every task, where documents are labelled batch by batch.
     """
-    held = df.sparkSession.sparkContext.broadcast(load_model())
+    parts = load_model()
+    mark = hashlib.sha256(b"".join(np.ascontiguousarray(x).tobytes() for x in parts[1:5])).hexdigest()
+    held = df.sparkSession.sparkContext.broadcast(parts)
     schema = pa.schema([(f, pa.string()) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _models.get(held.id if hasattr(held, "id") else 0)
+        model = _models.get(mark)  # a worker that is used again keeps its model, as long as it is the same one
         if model is None:
             _models.clear()
-            model = _models[held.id if hasattr(held, "id") else 0] = crf.Model(*held.value)
+            model = _models[mark] = crf.Model(*held.value)
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayledger.functions.text import source_key
 from wayledger.llm.mixing import mix, plan_mix, shares
-from wayledger.llm.offence import fit, labelled_sample, offence_scores
+from wayledger.llm.offence import fitted, labelled_sample, offence_scores
 from wayledger.llm.packing import fill_report, pack
 from wayledger.llm.pii import personal_information
 from wayledger.llm.tokens import token_count
@@ -49,22 +49,23 @@ def _mix_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of as many tokens as the targets' sources have together: small sources reach their caps, and what they lack
+    goes to the others."""
     docs = _mix_docs(spark, d)
-    return mix(docs, plan_mix(docs, table(spark, d, "mix_targets")))
+    return mix(docs, plan_mix(docs, table(spark, d, "mix_targets"), "all"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual shares of the largest mixture that meets all targets."""
+    """Target and actual shares of that mixture."""
     docs = _mix_docs(spark, d)
-    plan = plan_mix(docs, table(spark, d, "mix_targets"))
+    plan = plan_mix(docs, table(spark, d, "mix_targets"), "all")
     return shares(mix(docs, plan), plan)
 
 
-def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for a mixture as large as all documents together, in which small sources reach their caps."""
+def p9_shares_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the largest mixture that meets all targets, in which no source is clamped."""
     docs = _mix_docs(spark, d)
-    total = docs.agg(F.sum("tokens")).first()[0] or 0
-    plan = plan_mix(docs, table(spark, d, "mix_targets"), float(total))
+    plan = plan_mix(docs, table(spark, d, "mix_targets"))
     return shares(mix(docs, plan), plan)
 
 
@@ -87,8 +88,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every document."""
     docs = table(spark, d, "documents")
-    machine = fit(labelled_sample(docs, table(spark, d, "review_labels")))
-    return offence_scores(docs, machine)
+    return offence_scores(docs, fitted(labelled_sample(docs, table(spark, d, "review_labels"))))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,5 +102,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rate", F.col("offensive") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p7_found, p7_redacted, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_of_all, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p7_found, p7_redacted, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
