@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayledger.session import use_checkpoints
+
 DAY_MS = 86_400_000
+#: Stands for the slab of ranges of slabs.
+RANGE = -(1 << 62)
 
 
 class IntervalMap:
@@ -113,18 +117,25 @@ def periods_and_gaps(df: DataFrame, entity: str, from_ms: str, to_ms: str, slab_
     An interval over up to long_slabs slabs is cut into a piece for each. Of a longer one, such as one with an open end
     that is written as a far year, only the first and the last piece are cut; the slabs between are kept as one range,
     ranges are merged per entity, and what lies in a slab within a range is dropped, as it changes nothing.
+
+    df is read once and merged once: pieces and ranges go through the same merge, whose output, a few rows for each entity
+    and slab, is checkpointed for the three places where it is used.
     """
+    use_checkpoints(df.sparkSession)
     rows = df.select(F.col(entity).cast("string").alias("entity"), F.col(from_ms).cast("long").alias("a"), F.col(to_ms).cast("long").alias("b"))
     slab = F.lit(slab_ms).cast("long")
-    rows = rows.where("entity is not null and a < b").distinct().withColumns({"s0": F.floor(F.col("a") / slab), "s1": F.floor((F.col("b") - 1) / slab)})
+    rows = rows.where("entity is not null and a < b").withColumns({"s0": F.floor(F.col("a") / slab), "s1": F.floor((F.col("b") - 1) / slab)})
     short = F.col("s1") - F.col("s0") <= long_slabs
-    slabs = F.when(short, F.sequence("s0", F.when(short, F.col("s1")).otherwise(F.col("s0")))).otherwise(F.array("s0", "s1"))
-    cut = rows.select("entity", "a", "b", F.explode(slabs).alias("slab"))
-    cut = cut.select("entity", "slab", F.greatest("a", F.col("slab") * slab).alias("from_ms"), F.least("b", (F.col("slab") + 1) * slab).alias("to_ms"))
-    merged = cut.mapInArrow(_premerge, _PIECES).repartition("entity", "slab").sortWithinPartitions("entity", "slab").mapInArrow(_merge, "entity string, slab long, kind string, from_ms long, to_ms long")
-    # ranges of slabs that are covered from end to end; pieces of a length in slabs, so merged within the map tasks first
-    ranges = rows.where(~short).select("entity", F.lit(0).cast("long").alias("slab"), (F.col("s0") + 1).alias("from_ms"), F.col("s1").alias("to_ms"))
-    ranges = _islands(ranges.mapInArrow(_premerge, _PIECES).select("entity", "from_ms", "to_ms"), "from_ms", "to_ms")
+    # a long interval has a third row, its range of slabs that are covered from end to end, under a slab of its own
+    slabs = F.when(short, F.sequence("s0", F.when(short, F.col("s1")).otherwise(F.col("s0")))).otherwise(F.array("s0", "s1", F.lit(RANGE)))
+    cut = rows.select("entity", "a", "b", "s0", "s1", F.explode(slabs).alias("slab"))
+    ranged = F.col("slab") == RANGE
+    first = F.when(ranged, F.col("s0") + 1).otherwise(F.greatest("a", F.when(~ranged, F.col("slab")) * slab))
+    last = F.when(ranged, F.col("s1")).otherwise(F.least("b", (F.when(~ranged, F.col("slab")) + 1) * slab))
+    cut = cut.select("entity", "slab", first.alias("from_ms"), last.alias("to_ms"))
+    everything = cut.mapInArrow(_premerge, _PIECES).repartition("entity", "slab").sortWithinPartitions("entity", "slab").mapInArrow(_merge, "entity string, slab long, kind string, from_ms long, to_ms long").checkpoint()
+    merged = everything.where(F.col("slab") != RANGE)
+    ranges = everything.where((F.col("slab") == RANGE) & (F.col("kind") == "piece")).select("entity", "from_ms", "to_ms")
     spans = ranges.select(F.col("entity").alias("_e"), F.col("from_ms").alias("_lo"), F.col("to_ms").alias("_hi"))
     merged = merged.join(spans, (F.col("entity") == F.col("_e")) & (F.col("slab") >= F.col("_lo")) & (F.col("slab") < F.col("_hi")), "left_anti")
     covered = ranges.select("entity", (F.col("from_ms") * slab).alias("from_ms"), (F.col("to_ms") * slab).alias("to_ms"))

@@ -41,8 +41,8 @@ def _diff(bucket: pd.DataFrame, snapshots: list[int]) -> pd.DataFrame:
         differ[held] = state_s[a][at[held]] != state_s[b][held]
         for kind, rows, value_in in (("added", by[b][~held], snapshots[i]), ("removed", by[a][~still], snapshots[i - 1]), ("changed", by[b][differ], snapshots[i])):
             if len(rows):
-                out.append(pd.DataFrame({"snapshot_no": snapshots[i], "value_no": value_in, "k1": k1[rows], "k2": k2[rows], "change_kind": kind}))
-    return pd.concat(out) if out else pd.DataFrame({"snapshot_no": no[:0], "value_no": no[:0], "k1": k1[:0], "k2": k2[:0], "change_kind": np.array([], dtype=object)})
+                out.append(pd.DataFrame({"snapshot_no": snapshots[i], "value_no": value_in, "k1": k1[rows], "k2": k2[rows], "state": state[rows], "change_kind": kind}))
+    return pd.concat(out) if out else pd.DataFrame({"snapshot_no": no[:0], "value_no": no[:0], "k1": k1[:0], "k2": k2[:0], "state": state[:0], "change_kind": np.array([], dtype=object)})
 
 
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: str, preferred: str | None = None) -> DataFrame:
@@ -54,22 +54,24 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: str
     state equals an empty one. Where a key stands in a snapshot with several states, `preferred` counts if it is among
     them, else the smallest. One snapshot, or none, gives an empty result. Repeated rows count once.
 
-    Each (snapshot, key) becomes 128 hash bits of the key and 64 of the state. Those are dealt into buckets by hash and
-    compared as sorted arrays; only the keys that differ are joined back to their full values.
+    Each (snapshot, key) becomes 128 hash bits of the key and 64 of the state, in one aggregation. Those are dealt into
+    buckets by hash and compared as sorted arrays; only the keys that differ are joined back to their full values.
     """
     spark = rows.sparkSession
     present = sorted(r[0] for r in snapshots.select("snapshot_no").distinct().where("snapshot_no is not null").collect())  # one number a snapshot
     value = F.coalesce(F.col(state), F.lit(""))
+    held = rows.where(F.col("snapshot_no").isNotNull() & (F.col(key) != "")).select("snapshot_no", F.col(key).alias("_key"), value.alias("_value"))
     one = (
-        rows.where(F.col("snapshot_no").isNotNull() & (F.col(key) != ""))
-        .groupBy("snapshot_no", key)
-        .agg(F.max(value == F.lit(preferred or "")).alias("_p"), F.min(value).alias("_s"))
-        .select("snapshot_no", key, F.when(F.col("_p"), F.lit(preferred or "")).otherwise(F.col("_s")).alias("_state"))
-        .withColumns({"k1": F.xxhash64(key), "k2": F.xxhash64(F.lit("second"), key), "state": F.xxhash64("_state")})
+        held.withColumns({"k1": F.xxhash64("_key"), "k2": F.xxhash64(F.lit("second"), "_key")})
+        .groupBy("snapshot_no", "k1", "k2")
+        .agg(F.min("_key").alias("_key"), F.max(F.col("_value") == F.lit(preferred or "")).alias("_p"), F.min("_value").alias("_s"))
+        .select("snapshot_no", "k1", "k2", "_key", F.xxhash64(F.when(F.col("_p"), F.lit(preferred or "")).otherwise(F.col("_s"))).alias("state"))
     )
     buckets = max(shuffle_partitions(spark), math.ceil(rows.count() / BUCKET_ROWS))
     compact = one.select(F.pmod("k1", F.lit(buckets)).alias("bucket"), "snapshot_no", "k1", "k2", "state")
-    schema = "snapshot_no int, value_no int, k1 long, k2 long, change_kind string"
+    schema = "snapshot_no int, value_no int, k1 long, k2 long, state long, change_kind string"
     diff = compact.groupBy("bucket").applyInPandas(lambda pdf: _diff(pdf, present), schema)
-    values = one.select(F.col("snapshot_no").alias("value_no"), "k1", "k2", key)
-    return diff.join(values, ["value_no", "k1", "k2"]).select("snapshot_no", key, "change_kind")
+    # the state is no news here, but with it both uses of `one` are the same shuffle, which Spark then makes once; values lie
+    # as they are joined, so only the differing keys are moved
+    values = one.select(F.col("snapshot_no").alias("value_no"), "k1", "k2", "state", F.col("_key").alias(key))
+    return diff.join(values, ["value_no", "k1", "k2", "state"]).select("snapshot_no", key, "change_kind")

@@ -58,7 +58,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     feeds = table(spark, d, "feeds")
     tables = known_zones(feeds)
     rows = _register(spark, d).select(F.lower(squash("linkname")).alias("road"), "feed", "validfrom", "validto").where("road <> '' and validfrom is not null and validto is not null")
-    rows = with_feed_rules(rows.distinct(), feeds)  # the same times stand in snapshot after snapshot
+    rows = with_feed_rules(rows.distinct(), feeds)  # the same times stand in snapshot after snapshot; each is read once
     rows = rows.select("road", *[instant_ms(F.col(c), F.col("_zone"), F.col("_day_first"), tables).alias(c) for c in ("validfrom", "validto")])
     return periods_and_gaps(rows, "road", "validfrom", "validto").withColumnRenamed("entity", "road")
 
