@@ -65,13 +65,14 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: str
         held.withColumns({"k1": F.xxhash64("_key"), "k2": F.xxhash64(F.lit("second"), "_key")})
         .groupBy("snapshot_no", "k1", "k2")
         .agg(F.min("_key").alias("_key"), F.max(F.col("_value") == F.lit(preferred or "")).alias("_p"), F.min("_value").alias("_s"))
+        .where(F.col("_key") != "")  # holds for all; it keeps the key in both uses, see below
         .select("snapshot_no", "k1", "k2", "_key", F.xxhash64(F.when(F.col("_p"), F.lit(preferred or "")).otherwise(F.col("_s"))).alias("state"))
     )
     buckets = max(shuffle_partitions(spark), math.ceil(rows.count() / BUCKET_ROWS))
     compact = one.select(F.pmod("k1", F.lit(buckets)).alias("bucket"), "snapshot_no", "k1", "k2", "state")
     schema = "snapshot_no int, value_no int, k1 long, k2 long, state long, change_kind string"
     diff = compact.groupBy("bucket").applyInPandas(lambda pdf: _diff(pdf, present), schema)
-    # the state is no news here, but with it both uses of `one` are the same shuffle, which Spark then makes once; values lie
+    # the state is no news here, but with it and the key both uses of `one` are the same shuffle, made once; values lie
     # as they are joined, so only the differing keys are moved
     values = one.select(F.col("snapshot_no").alias("value_no"), "k1", "k2", "state", F.col("_key").alias(key))
     return diff.join(values, ["value_no", "k1", "k2", "state"]).select("snapshot_no", key, "change_kind")
