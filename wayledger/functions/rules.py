@@ -136,3 +136,55 @@ def xml_escape(text: Column | str) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def road_letter(name: Column | str) -> Column:
+    """M, A or B of a road's number, at its beginning; null for other names."""
+    return F.nullif(F.regexp_extract(F.upper(F.trim(_c(name))), "^([MAB])[0-9]", 1), F.lit(""))
+
+
+def road_class(name: Column | str, text: Column | str | None = None, numbers: Sequence[str] = (), names: Sequence[str] = ("motorway", "a_road", "b_road", "minor")) -> Column:
+    """Class of a road by its number; one of the numbers in the text makes it the second class."""
+    letter = road_letter(name)
+    named = F.when(letter == "M", names[0]).when(letter == "A", names[1]).when(letter == "B", names[2]).otherwise(names[3])
+    if text is None or not numbers:
+        return named
+    hit = reduce(lambda a, b: a | b, [F.upper(_c(text)).contains(n) for n in numbers])
+    return F.when(F.trim(_c(name)).isNull() | (F.trim(_c(name)) == ""), names[3]).when(F.coalesce(hit, F.lit(False)), names[1]).otherwise(named)
+
+
+#: Words of quiet streets, and last words of busier ones (fixed values).
+QUIET = ["rear of", "back of", "alley", "lane", "court", "close", "mews", "cul-de-sac", "terrace", "grove", "place", "rise", "walk", "crescent", "gardens", "square", "yard", "passage", "footpath", "footway", "bridleway", "access road", "service road"]
+BUSIER = ["road", "street", "avenue", "way", "drive", "boulevard", "highway"]
+
+
+def estimated_volume(name: Column | str, text: Column | str, steps: dict[str, int]) -> Column:
+    """Vehicles a day by a road's name, where none were counted: steps for M, A, B, quiet, busier, other and unnamed."""
+    low, letter = F.lower(_c(name)), road_letter(name)
+    ends = reduce(lambda a, b: a | b, [F.endswith(F.rtrim(low), F.lit(w)) for w in BUSIER])
+    quiet = any_keyword(name, QUIET) | any_keyword(text, QUIET)
+    by_letter = [(letter == k, steps[k]) for k in "MAB"]
+    return first_rule([(F.coalesce(_c(name), F.lit("")) == "", steps["unnamed"]), *by_letter, (quiet, steps["quiet"]), (ends, steps["busier"])], steps["other"])
+
+
+def ahead(a: Column | str, b: Column | str, lower_is_better: bool = False) -> Column:
+    """Whether a is as good as b or better; null if one is missing."""
+    return (_c(a) <= _c(b)) if lower_is_better else (_c(a) >= _c(b))
+
+
+def in_box(lat: Column | str, lng: Column | str, box: tuple[float, float, float, float]) -> Column:
+    """Whether a place is within (south, north, west, east), edges included; 0 and null are no places."""
+    a, b = _c(lat), _c(lng)
+    return F.coalesce((a != 0) & (b != 0) & a.between(box[0], box[1]) & b.between(box[2], box[3]), F.lit(False))
+
+
+def first_project(projects: Sequence[dict], lat: str, lng: str, road: str, text: str, owner: Column) -> Column:
+    """Name of the first project (name, box, roads, keywords) whose box holds the place and that shares a road's name, or,
+    for the owner's works, two keywords; null if there is none."""
+    return first_rule([(in_box(lat, lng, p["box"]) & (reduce(lambda a, b: a | b, [either_contains(road, F.lit(r), True) for r in p["roads"]], F.lit(False)) | (owner & (keyword_hits(text, p["keywords"]) >= 2))), p["name"]) for p in projects])
+
+
+def dates_ahead(dates: Column | str, day: int) -> Column:
+    """The days of a list that aren't before a day; null if none is left."""
+    left = F.filter(_c(dates), lambda d: d >= day)
+    return F.when(F.size(left) > 0, left)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,11 @@ def top_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def first_of_each(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key; tasks keep n rows a key before the shuffle (WindowGroupLimit)."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int = 30) -> DataFrame:
     """Page `number`, counted from 1 and held within the pages there are."""
     pages = max(1, -(-df.count() // size))

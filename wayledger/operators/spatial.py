@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayledger.operators.places import containing_regions, near_pairs
@@ -67,3 +67,49 @@ def first_region(points: DataFrame, key: str, regions: DataFrame, region: str, r
     named = regions.select(F.concat_ws("\u0001", F.lpad(F.col(order).cast("string"), 12, "0"), F.col(region)).alias("_r"), F.col(ring).alias("_ring"))
     hit = containing_regions(points.select(key, "lat", "lng"), named, "_r", "_ring").groupBy(key).agg(F.min("region_id").alias("_m"))
     return points.select(key).join(hit, key, "left").select(key, F.coalesce(F.substring_index("_m", "\u0001", -1), F.lit(default)).alias(region))
+
+
+def near_on_days(df: DataFrame, key: str, start_day: str, end_day: str, events: DataFrame, event: str, inclusive: bool = True) -> DataFrame:
+    """(key, event, day, distance_m): each row of df (lat, lng) with each event (lat, lng, radius_m, days: a sorted list of
+    day numbers) within the event's own radius, and the first of its days between start and end; a missing end is open.
+
+    One grid join at the largest radius of all events; lists of days aren't multiplied out."""
+    most = events.agg(F.max("radius_m")).first()[0] or 1.0
+    there = events.select(F.col(event).alias("_event"), F.col("lat").alias("olat"), F.col("lng").alias("olng"), "radius_m", "days")
+    pairs = near_pairs(df.select(key, "lat", "lng", F.col(start_day).alias("_a"), F.col(end_day).alias("_b")), there, float(most), other=_AT, keep="<=")
+    within = F.col("distance_m") <= F.col("radius_m") if inclusive else F.col("distance_m") < F.col("radius_m")
+    day = F.try_element_at(F.filter("days", lambda d: (F.col("_a") <= d) & F.coalesce(d <= F.col("_b"), F.lit(True))), F.lit(1))
+    return pairs.where(within).withColumn("day", day).where("day is not null").select(key, F.col("_event").alias(event), "day", "distance_m")
+
+
+def vertices(lines: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, vertex_no, lat, lng) of polylines whose vertices are [lng, lat]."""
+    return lines.select(key, F.posexplode(path).alias("vertex_no", "_v")).select(key, "vertex_no", F.col("_v")[1].alias("lat"), F.col("_v")[0].alias("lng"))
+
+
+def line_means(lines: DataFrame, key: str, path: str, others: DataFrame, order: str, value: str, radius_m: float) -> DataFrame:
+    """(key, mean, hits): for each vertex of a line the first of the others by order, with a value above 0, less than
+    radius_m away; the mean of their values over the line's vertices that have one, 0 if none has."""
+    v = vertices(lines, key, path).withColumn("_vertex", F.struct(key, "vertex_no"))
+    hit = first_within(v, "_vertex", others.where(F.col(value) > 0), radius_m, order)
+    got = hit.groupBy(F.col(f"_vertex.{key}").alias(key)).agg(F.avg(value).alias("mean"), F.count("*").alias("hits"))
+    return lines.select(key).join(got, key, "left").select(key, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+def near_lines(points: DataFrame, key: str, lines: DataFrame, line: str, path: str, radius_m: float) -> DataFrame:
+    """(line, key, distance_m): points less than radius_m from a vertex of a line, with the distance to the nearest one."""
+    v = vertices(lines, line, path).select(line, F.col("lat").alias("olat"), F.col("lng").alias("olng"))
+    return near_pairs(points.select(key, "lat", "lng"), v, radius_m, other=_AT).groupBy(line, key).agg(F.min("distance_m").alias("distance_m"))
+
+
+def overlap_counts(df: DataFrame, entity: str, start_day: str, end_day: str) -> DataFrame:
+    """(entity, pairs): how many pairs of an entity's rows overlap or touch, by days; rows without a start count in none,
+    a missing end is open. All pairs, less those of which one ended before the other began: those are counted from running
+    sums over the days that occur, so no pair is formed and a task holds a row a day of an entity."""
+    own = df.where(F.col(start_day).isNotNull() & (F.col(end_day).isNull() | (F.col(end_day) >= F.col(start_day))))
+    begun = own.groupBy(entity, F.col(start_day).alias("_d")).agg(F.count("*").alias("_s"), F.lit(0).cast("long").alias("_e"))
+    ended = own.where(F.col(end_day).isNotNull()).groupBy(entity, F.col(end_day).alias("_d")).agg(F.lit(0).cast("long").alias("_s"), F.count("*").alias("_e"))
+    days = begun.unionByName(ended).groupBy(entity, "_d").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
+    before = F.coalesce(F.sum("_e").over(Window.partitionBy(entity).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = days.withColumn("_before", before).groupBy(entity).agg(F.sum("_s").alias("_n"), F.sum(F.col("_s") * F.col("_before")).alias("_apart"))
+    return n.select(entity, (F.col("_n") * (F.col("_n") - 1) / 2 - F.col("_apart")).cast("long").alias("pairs"))

@@ -110,12 +110,20 @@ def first_in_interval(df: DataFrame, key: str, start: str, end: str, points: Dat
     return best.select(key, *[F.col(f"_p.{c}").alias(c) for c in points.columns])
 
 
-def heatmap(df: DataFrame, start: str, end: str, first_day: int, profile: list[float], days: int = 7, per_row: float = 0.15, cap: float = 3.0, busy: tuple[int, int] = (7, 18), overlays: DataFrame | None = None) -> DataFrame:
+def heatmap(df: DataFrame, start: str, end: str, first_day: int, profile: list[float], days: int = 7, per_row: float = 0.15, cap: float = 3.0, busy: tuple[int, int] = (7, 18), overlays: DataFrame | None = None, weekend: list[float] | None = None, school: dict[int, float] | None = None, terms: list[tuple[str, int, int]] = ()) -> DataFrame:
     """days x 24 rows (day, hour, flow): a profile by hour, plus an amount for the rows active on the day in busy hours,
-    plus overlays (day, hour, extra)."""
+    plus overlays (day, hour, extra). Saturdays and Sundays have a profile of their own if one is given; school adds to the
+    hours of the other days within terms."""
     active = daily_counts(df, start, end, first_day, days)
     hours = F.explode(F.array(*[F.struct(F.lit(h).alias("hour"), F.lit(float(v)).alias("base")) for h, v in enumerate(profile)]))
     grid = active.withColumn("_h", hours).select("day", "n", "_h.*")
+    off = F.pmod(F.col("day") + 3, F.lit(7)) >= 5
+    if weekend is not None:
+        grid = grid.withColumn("base", F.when(off, F.array(*[F.lit(float(v)) for v in weekend])[F.col("hour")]).otherwise(F.col("base")))
+    if school:
+        term = in_ranges(grid, "day", list(terms), "")
+        run = F.coalesce(F.create_map(*[x for h, v in school.items() for x in (F.lit(h), F.lit(float(v)))])[F.col("hour")], F.lit(0.0))
+        grid = term.withColumn("base", F.col("base") + F.when(~off & (F.col("term") != ""), run).otherwise(0.0)).drop("term")
     extra = F.when(F.col("hour").between(*busy), F.least(F.col("n") * F.lit(per_row), F.lit(cap))).otherwise(0.0)
     out = grid.withColumn("flow", F.col("base") + extra)
     if overlays is not None:

@@ -613,3 +613,138 @@ def junction_index(spark, d):
     volume = F.coalesce(F.col("all_motor_vehicles") / 300.0, F.lit(20.0) * 0.75)
     score = rules.weighted([(volume, 0.4), (F.col("w"), 0.3), (F.col("closed") * 30.0, 0.2), (F.col("score"), 0.1)], 1)
     return j.select("count_point_id", score.alias("index")).withColumn("level", rules.tier("index", [(70, "critical"), (50, "high"), (30, "medium")], "low"))
+
+
+# ---- tags, corridors, events
+
+#: Capacity that works take from a road, by what is said of them (fixed values); the first that holds counts.
+def _restriction() -> list[tuple[F.Column, str, float]]:
+    c, m, r, i = (F.lower(x) for x in ("constriction", "management", "restrictions", "impact"))
+    lights = r == "temporarytrafficlights"
+    lanes = (c == "lanesblocked") | (m == "laneclosures")
+    return [
+        ((c == "roadblocked") | (m == "roadclosed"), "full_closure", 1.0),
+        (lanes & lights, "lane_restriction", 0.6),
+        (lanes, "lane_restriction", 0.4),
+        (lights, "lane_restriction", 0.5),
+        ((i == "verylongdelays") & (F.col("severity") == "high"), "lane_restriction", 0.4),
+        (i.isin("longdelays", "verylongdelays"), "lane_restriction", 0.3),
+    ]
+
+
+def classified(w: DataFrame) -> DataFrame:
+    """Works with restriction_class and capacity."""
+    steps = _restriction()
+    return w.withColumns({"restriction_class": rules.first_rule([(c, k) for c, k, _ in steps], "minor"), "capacity": rules.first_rule([(c, v) for c, _, v in steps], 0.1)})
+
+
+PROJECTS = [
+    {"name": "Gorse renewal", "box": (53.0, 53.1, -1.6, -1.4), "roads": ["gorse", "sallowfield road"], "keywords": ["footway", "bridge", "culvert"]},
+    {"name": "Canal bank", "box": (53.05, 53.25, -1.75, -1.5), "roads": ["fenwick"], "keywords": ["diversion", "lane", "bridge"]},
+]
+
+
+@query
+def works_tagged(spark, d):
+    """Live works with restriction class, capacity, project, flags and owner."""
+    w = classified(live(works(spark, d)))
+    owner = rules.any_keyword("operator", ["council"])
+    return w.select("id", "restriction_class", "capacity", rules.first_project(PROJECTS, "lat", "lng", "road", "description", owner).alias("project"), rules.any_keyword("description", ["bridge", "culvert"]).alias("is_bridge"), owner.alias("is_owner"), (F.col("status") == STARTED).alias("is_started"))
+
+
+@query
+def road_classes(spark, d):
+    w = works(spark, d)
+    steps = {"M": 80000, "A": 15000, "B": 5000, "quiet": 200, "busier": 3000, "other": 1500, "unnamed": 500}
+    return w.select("id", rules.road_class("road", "description", ["A6997", "A6211"]).alias("road_class"), rules.estimated_volume("road", "description", steps).cast("long").alias("volume"))
+
+
+@query
+def coverage_counters(spark, d):
+    """How many live works each tag covers, and all tags together, works under several counted for each."""
+    t = works_tagged(spark, d)
+    flags = {"started": F.col("is_started"), "bridges": F.col("is_bridge"), "in_projects": F.col("project").isNotNull(), "closures": F.col("restriction_class") == "full_closure"}
+    one = t.agg(F.count("*").alias("works"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    return one.withColumn("covered", F.expr(" + ".join(flags)))
+
+
+def _corridors(spark: SparkSession, d: str) -> DataFrame:
+    """The divisions' outlines as corridors, with a base severity."""
+    return table(spark, d, "burnley_ceds").select("ons_code", "coordinates", ((F.substring("ons_code", 4, 6).cast("int") % 5) / 10.0).alias("base"))
+
+
+@query
+def corridor_scores(spark, d):
+    """Severity of each corridor from its base, the volume counted along it and the number of live works."""
+    lines = _corridors(spark, d)
+    c = _counters(spark, d).select("count_point_id", F.col("lat").alias("olat"), F.col("lng").alias("olng"), "all_motor_vehicles")
+    mean = spatial.line_means(lines, "ons_code", "coordinates", c, "count_point_id", "all_motor_vehicles", 800.0)
+    n = live(works(spark, d)).count()
+    severity = F.least(F.col("base") + F.least(F.col("mean") / 50000.0, F.lit(1.0)) * 0.3 + F.lit(min(n * 0.02, 0.3)), F.lit(1.0))
+    out = lines.join(mean, "ons_code").select("ons_code", F.bround(severity, 2).alias("severity"), F.floor("mean").cast("long").alias("vehicles"), "hits")
+    return out.withColumn("level", rules.tier("severity", [(0.8, "critical"), (0.6, "severe"), (0.4, "high"), (0.2, "moderate")], "low"))
+
+
+@query
+def corridor_clashes(spark, d):
+    """Works along each corridor that aren't over: how many, overlapping pairs, the capacity they take together."""
+    w = classified(live(works(spark, d))).where(F.col("end_ms").isNull() | (temporal.day_of("end_ms") >= AS_OF_DAY))
+    w = w.withColumns({"a": temporal.day_of("start_ms"), "b": temporal.day_of("end_ms")})
+    near = spatial.near_lines(w, "id", _corridors(spark, d), "ons_code", "coordinates", 300.0).join(w.select("id", "a", "b", "capacity"), "id")
+    per = near.groupBy("ons_code").agg(F.count("*").alias("works"), F.bround(F.sum("capacity"), 2).alias("capacity"))
+    out = per.join(spatial.overlap_counts(near, "ons_code", "a", "b"), "ons_code").where("works >= 2 and pairs > 0")
+    return out.withColumn("level", rules.tier("capacity", [(1.5, "critical"), (1.0, "high")], "moderate"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Events at count points: place, radius and days (every 21 and 28 days from a day of their own)."""
+    k = F.col("count_point_id")
+    c = _counters(spark, d).where((k % 7 == 0) & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    first = F.lit(AS_OF_DAY - 60) + k % 40
+    return c.select("count_point_id", "lat", "lng", (F.lit(1000.0) + (k % 3) * 500.0).alias("radius_m"), F.array_sort(F.array(first, first + 21, first + 49)).alias("days"))
+
+
+@query
+def event_dates(spark, d):
+    """Events with days to come: how many, the first and the last."""
+    e = _events(spark, d).withColumn("left", rules.dates_ahead("days", AS_OF_DAY)).where("left is not null")
+    return e.select("count_point_id", F.size("left").cast("long").alias("n"), F.try_element_at("left", F.lit(1)).alias("first_day"), F.try_element_at("left", F.lit(-1)).alias("last_day"))
+
+
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    w = live(works(spark, d))
+    return w.select("id", "lat", "lng", temporal.day_of("start_ms").alias("a"), temporal.day_of("end_ms").alias("b")).where("a is not null")
+
+
+@query
+def work_events(spark, d):
+    """For each live work the first event, by number, within the event's radius on a day of the work."""
+    hit = spatial.near_on_days(_timed(spark, d), "id", "a", "b", _events(spark, d), "count_point_id")
+    return hit.groupBy("id").agg(F.min_by(F.struct("count_point_id", "day"), "count_point_id").alias("e")).select("id", "e.count_point_id", "e.day")
+
+
+@query
+def event_works(spark, d):
+    """For each event the live works within its radius on one of its days, and the three nearest of them."""
+    e = _events(spark, d)
+    hit = spatial.near_on_days(_timed(spark, d), "id", "a", "b", e, "count_point_id", inclusive=False)
+    near = rank.first_of_each(hit, "count_point_id", [F.col("distance_m"), F.col("id")], 3).groupBy("count_point_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("distance_m", "id"))), lambda x: x["id"].cast("string")), " ").alias("nearest"))
+    n = hit.groupBy("count_point_id").agg(F.count("*").alias("works"))
+    return e.select("count_point_id").join(n, "count_point_id", "left").join(near, "count_point_id", "left").select("count_point_id", F.coalesce("works", F.lit(0)).cast("long").alias("works"), F.coalesce("nearest", F.lit("")).alias("nearest"))
+
+
+WEEKEND = [2, 1, 1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 7, 7, 6, 6, 5, 5, 4, 4, 3, 3]
+
+
+@query
+def heatmap_profiles(spark, d):
+    """The heatmap with a weekend profile and the school run in term."""
+    return temporal.heatmap(live(works(spark, d)), "start_ms", "end_ms", AS_OF_DAY, PROFILE, weekend=WEEKEND, school={8: 3.0, 15: 2.5}, terms=TERMS)
+
+
+@query
+def nation_winner(spark, d):
+    """Whether each nation's customers have as much on average as its suppliers, or more."""
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("c"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("s"))
+    return c.join(s, "k", "left").select("k", rules.ahead("c", "s").alias("ahead"), rules.ahead("c", "s", lower_is_better=True).alias("behind"))

@@ -60,6 +60,24 @@ _STRICT_RING = """ring as (select ons_code, cast(substr(ons_code, 4, 6) as int)
 edge as (select ons_code, ord, r[i][1] as ax, r[i][2] as ay, r[i % n + 1][1] as xb, r[i % n + 1][2] as yb from (select *, unnest(range(1, n + 1)) as i from ring)),
 inside as (select row_id, ons_code, ord from road_status p join edge on ((ay > lat) != (yb > lat)) and lng < ax + (lat - ay) * (xb - ax) / (yb - ay) group by all having count(*) % 2 = 1)"""
 
+_CLASS = """case when lower(constriction) = 'roadblocked' or lower(management) = 'roadclosed' then 1.0 when (lower(constriction) = 'lanesblocked' or lower(management) = 'laneclosures') then case when lower(restrictions) = 'temporarytrafficlights' then 0.6 else 0.4 end
+  when lower(restrictions) = 'temporarytrafficlights' then 0.5 when lower(impact) = 'verylongdelays' and severity = 'high' then 0.4 when lower(impact) in ('longdelays', 'verylongdelays') then 0.3 else 0.1 end"""
+_IN = "(lat <> 0 and lng <> 0 and lat between %s::double and %s::double and lng between %s::double and %s::double)"
+_OWNER = "contains(lower(operator), 'council')"
+_HITS = lambda *ws: "(" + " + ".join(f"cast(contains(lower(description), '{w}') as int)" for w in ws) + " >= 2)"
+_ROADS = lambda *rs: "(" + " or ".join(f"contains(lower(road), '{r}') or contains('{r}', lower(road))" for r in rs) + ")"
+_TAGGED = f"""{W}, tagged as (select id, case {_CLASS} when 1.0 then 'full_closure' when 0.1 then 'minor' else 'lane_restriction' end as restriction_class, cast({_CLASS} as double) as capacity,
+    case when {_IN % (53.0, 53.1, -1.6, -1.4)} and ({_ROADS('gorse', 'sallowfield road')} or ({_OWNER} and {_HITS('footway', 'bridge', 'culvert')})) then 'Gorse renewal'
+      when {_IN % (53.05, 53.25, -1.75, -1.5)} and ({_ROADS('fenwick')} or ({_OWNER} and {_HITS('diversion', 'lane', 'bridge')})) then 'Canal bank' end as project,
+    contains(lower(description), 'bridge') or contains(lower(description), 'culvert') as is_bridge, {_OWNER} as is_owner, status = 'works started' as is_started from live)"""
+_QUIET = ["rear of", "back of", "alley", "lane", "court", "close", "mews", "cul-de-sac", "terrace", "grove", "place", "rise", "walk", "crescent", "gardens", "square", "yard", "passage", "footpath", "footway", "bridleway", "access road", "service road"]
+_BUSIER = ["road", "street", "avenue", "way", "drive", "boulevard", "highway"]
+_LINES = f"lines as (select ons_code, (cast(substr(ons_code, 4, 6) as int) % 5) / 10.0::double as base, unnest(range(1, len(coordinates) + 1)) as i, coordinates from burnley_ceds), vertex as (select ons_code, base, i, coordinates[i][2] as vlat, coordinates[i][1] as vlng from lines)"
+_EVENTS = f"""ev as (select count_point_id, lat, lng, 1000.0::double + (count_point_id % 3) * 500.0::double as radius_m, {_AS_OF - 60} + count_point_id % 40 as d from counters where count_point_id % 7 = 0 and lat is not null and lng is not null),
+  evd as (select *, [d, d + 21, d + 49] as days from ev)"""
+_TIMED = f"""{W}, {_COUNTERS}, {_EVENTS}, timed as (select id, lat as wlat, lng as wlng, floor(start_ms / {_DAY}.0) as a, floor(end_ms / {_DAY}.0) as b from live where start_ms is not null),
+  hit as (select * from (select id, count_point_id, {_hav('wlat', 'wlng', 'lat', 'lng')} as dm, radius_m, list_filter(days, lambda x: x >= a and (b is null or x <= b))[1] as day from timed join evd on wlat between lat - 0.03 and lat + 0.03) where day is not null)"""
+
 SQL = {
     "works_flat": f"{W} select id, road, ward, district, start_ms, end_ms, severity, urgent, reference from works",
     "restriction_labels": rf"""{W}, l as (select id, restrictions, regexp_replace(restrictions, '([a-z])([A-Z])', '\1 \2', 'g') as x, {_FDAYS} as d from works)
@@ -164,4 +182,29 @@ SQL = {
         coalesce(sum(case when dm < 500.0 and kind = 'Closed' then 1 end), 0) as closed, cast(coalesce({_KIND_SCORE}, 0) as double) as score from counters c left join near n on n.count_point_id = c.count_point_id group by all),
       s as (select count_point_id, round_even(least(100.0::double, coalesce(v / 300.0::double, 15.0::double)) * 0.4::double + least(100.0::double, w) * 0.3::double + least(100.0::double, closed * 30.0::double) * 0.2::double + least(100.0::double, score) * 0.1::double, 1) as index from g)
       select *, case when index >= 70 then 'critical' when index >= 50 then 'high' when index >= 30 then 'medium' else 'low' end as level from s""",
+    "works_tagged": f"{_TAGGED} select * from tagged",
+    "road_classes": f"""{W}, t as (select id, road, description, regexp_extract(upper(trim(road, ' ')), '^([MAB])[0-9]', 1) as k from works)
+      select id, case when road = '' then 'minor' when contains(upper(description), 'A6997') or contains(upper(description), 'A6211') then 'a_road' when k = 'M' then 'motorway' when k = 'A' then 'a_road' when k = 'B' then 'b_road' else 'minor' end as road_class,
+      cast(case when road = '' then 500 when k = 'M' then 80000 when k = 'A' then 15000 when k = 'B' then 5000 when len(list_filter({_QUIET}, lambda w: contains(lower(road), w) or contains(lower(description), w))) > 0 then 200
+        when len(list_filter({_BUSIER}, lambda w: ends_with(rtrim(lower(road), ' '), w))) > 0 then 3000 else 1500 end as bigint) as volume from t""",
+    "coverage_counters": f"""{_TAGGED}, c as (select count(*) as works, count(*) filter (is_started) as started, count(*) filter (is_bridge) as bridges, count(*) filter (project is not null) as in_projects, count(*) filter (restriction_class = 'full_closure') as closures from tagged)
+      select *, started + bridges + in_projects + closures as covered from c""",
+    "corridor_scores": f"""{W}, {_COUNTERS}, {_LINES}, f as (select ons_code, i, arg_min(all_motor_vehicles, count_point_id) as v from vertex join counters on lat between vlat - 0.01 and vlat + 0.01 and all_motor_vehicles > 0 and {_hav('vlat', 'vlng', 'lat', 'lng')} < 800.0 group by all),
+      m as (select l.ons_code, any_value(base) as base, coalesce(avg(cast(v as double)), 0.0::double) as mean, count(v) as hits from vertex l left join f on f.ons_code = l.ons_code and f.i = l.i group by all),
+      s as (select ons_code, round_even(least(base + least(mean / 50000.0::double, 1.0::double) * 0.3::double + least((select count(*) from live) * 0.02::double, 0.3::double), 1.0::double), 2) as severity, cast(floor(mean) as bigint) as vehicles, hits from m)
+      select *, case when severity >= 0.8 then 'critical' when severity >= 0.6 then 'severe' when severity >= 0.4 then 'high' when severity >= 0.2 then 'moderate' else 'low' end as level from s""",
+    "corridor_clashes": f"""{W}, {_LINES}, t as (select id, lat, lng, floor(start_ms / {_DAY}.0) as a, floor(end_ms / {_DAY}.0) as b, cast({_CLASS} as double) as capacity from live where end_ms is null or floor(end_ms / {_DAY}.0) >= {_AS_OF}),
+      n as (select distinct ons_code, id, a, b, capacity from vertex join t on lat between vlat - 0.005 and vlat + 0.005 and {_hav('vlat', 'vlng', 'lat', 'lng')} < 300.0),
+      p as (select x.ons_code, count(*) as pairs from n x join n y on x.ons_code = y.ons_code and x.id < y.id and x.a is not null and y.a is not null and (x.b is null or x.b >= x.a) and (y.b is null or y.b >= y.a) and not coalesce(x.b < y.a, false) and not coalesce(y.b < x.a, false) group by all),
+      g as (select ons_code, count(*) as works, round_even(sum(capacity), 2) as capacity from n group by all)
+      select g.*, pairs, case when capacity >= 1.5 then 'critical' when capacity >= 1.0 then 'high' else 'moderate' end as level from g join p using (ons_code) where works >= 2""",
+    "event_dates": f"""with {_COUNTERS}, {_EVENTS}, l as (select count_point_id, list_filter(days, lambda x: x >= {_AS_OF}) as days from evd) select count_point_id, len(days) as n, days[1] as first_day, days[-1] as last_day from l where len(days) > 0""",
+    "work_events": f"{_TIMED} select id, min(count_point_id) as count_point_id, arg_min(day, count_point_id) as day from hit where dm <= radius_m group by id",
+    "event_works": f"""{_TIMED}, h as (select count_point_id, id, row_number() over (partition by count_point_id order by dm, id) as rn from hit where dm < radius_m)
+      select e.count_point_id, count(id) as works, coalesce(string_agg(cast(id as varchar), ' ' order by rn) filter (rn <= 3), '') as nearest from evd e left join h using (count_point_id) group by all""",
+    "heatmap_profiles": f"""{W}, d as (select unnest(range({_AS_OF}, {_AS_OF + 7})) as day), n as (select day, count(id) as n from d left join live on floor(start_ms / {_DAY}.0) <= day and floor(end_ms / {_DAY}.0) >= day group by all)
+      select day, cast(h as int) as hour, round_even(cast(case when (day + 3) % 7 >= 5 then [2,1,1,1,1,2,3,4,5,6,7,8,8,8,7,7,6,6,5,5,4,4,3,3][h + 1] else {_PROFILE}[h + 1] end as double)
+        + case when (day + 3) % 7 < 5 and (day between 20459 and 20543 or day between 20556 and 20654 or day between 20332 and 20439) then case h when 8 then 3.0::double when 15 then 2.5::double else 0.0::double end else 0.0::double end
+        + case when h between 7 and 18 then least(n * 0.15::double, 3.0::double) else 0.0::double end, 2) as flow from n, (select unnest(range(0, 24)) as h)""",
+    "nation_winner": "with c as (select c_nationkey as k, avg(c_acctbal) as c from customer group by all), s as (select s_nationkey as k, avg(s_acctbal) as s from supplier group by all) select k, c >= s as ahead, c <= s as behind from c left join s using (k)",
 }
