@@ -147,3 +147,40 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([((i * 37) % 101, 53.0 + i * 0.001, -1.5) for i in range(101)] + [(500, 54.0, -1.5)], "id long, lat double, lng double")
     got = {r.id: r.component for r in cluster.components(df, "id", 120.0).collect()}
     assert {v for k, v in got.items() if k != 500} == {0} and got[500] == 500
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_overlap_counts_brute_force(spark, seed):
+    from wayledger.operators import spatial
+
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), rng.choice([None, *range(20)]), rng.choice([None, *range(25)])) for i in range(80)]
+    inf = float("inf")
+    own = [(k, a, inf if b is None else b) for _, k, a, b in rows if a is not None and (b is None or b >= a)]
+    want = {k: sum(x[1] <= y[2] and y[1] <= x[2] for i, x in enumerate(own) for y in own[i + 1 :] if x[0] == y[0] == k) for k in "ab"}
+    df = spark.createDataFrame(rows, "id long, k string, s long, t long")
+    assert {r.k: r.pairs for r in spatial.overlap_counts(df, "k", "s", "t").collect()} == want
+    assert spatial.overlap_counts(df.limit(0), "k", "s", "t").count() == 0
+
+
+def test_works_without_a_shared_folder(spark):
+    """A cluster without a shared checkpoint folder is an error, not a machine's own folder."""
+    from unittest.mock import MagicMock
+
+    from wayledger.session import use_checkpoints
+
+    cluster = MagicMock()
+    cluster.sparkContext.master = "spark://host:7077"
+    cluster.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    cluster.conf.get.return_value = None
+    with pytest.raises(RuntimeError):
+        use_checkpoints(cluster)
+
+
+def test_p3_and_p2_read_once(spark, small):
+    from wayledger.plans import general
+
+    plan = general.p2_found(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or plan.count("FileScan") <= 2
+    p3 = general.p3_found(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in p3 and "ArrowEvalPython" not in p3  # all later uses read the merged rows

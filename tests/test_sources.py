@@ -92,6 +92,33 @@ def test_archive_and_cache(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_sitemap_is_well_formed_and_whole(spark, tmp_path):
+    import xml.etree.ElementTree as et
+
+    arts = spark.createDataFrame([(f"a{i}", f"T & {i}", "2025-01-02", ["x", "<y>"] if i % 2 else [], False) for i in range(1200)], "id string, title string, date string, tags array<string>, draft boolean").withColumn("date", F.to_timestamp("date")).withColumn("description", F.lit(None).cast("string"))
+    root = et.fromstring(sinks.sitemap(arts, "https://s.example", "The & News").collect()[0].value.split("?>", 1)[1])
+    assert len(root) == 1200 and len(et.fromstring(sinks.feed(arts, "https://s.example", "N").collect()[0].value.split("?>", 1)[1]).findall(".//item")) == 1200
+    news = "{http://www.google.com/schemas/sitemap-news/0.9}"
+    assert root.findall(f".//{news}name")[0].text == "The & News" and len(root.findall(f".//{news}keywords")) == 600
+
+
+def test_archive_record_and_document(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0), ("b", None)], "key string, start_ms long")
+    got = {r.key: r for r in sinks.left_register(df, "start_ms", 5 * 86_400_000 - 1, "gone").collect()}
+    assert got["a"].actual_duration_days == 4 and got["b"].actual_duration_days is None and got["a"].archived_reason == "gone"
+    sinks.analytics_document({"league": df, "stats": df.limit(1)}, str(tmp_path / "doc"), "2026-01-01", {"live": 2})
+    assert spark.read.json(str(tmp_path / "doc/league")).count() == 2 and spark.read.json(str(tmp_path / "doc/meta")).first().live == 2
+
+
+def test_late_copies_never_pass(spark, tmp_path):
+    store = str(tmp_path / "store")
+    run = streams.once_per_message_ever(store, "k", "u", "d")
+    batches = [[("a", 1, 1), ("a", 2, 2), ("b", 1, 3)], [("a", 9, 4), ("c", 1, 5), (None, 1, 6)], [("b", 5, 7), ("c", 5, 8)]]
+    for n in (0, 1, 2, 1):  # one is run again
+        run(spark.createDataFrame(batches[n], "k string, u long, d long"), n)
+    assert sorted(r.d for r in spark.read.parquet(store).collect()) == [2, 3, 5, 6]
+
+
 @pytest.mark.parametrize("form", ["intervals", "once", "archive"])
 def test_streams(spark, tmp_path, form):
     source, rows = tmp_path / "in", [[("r", 0, 10), ("r", 20, 30), ("q", 0, 1)], [("r", 10, 15), (None, 0, 1), ("r", 5, 4)]]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.operators.places import containing_regions, near_pairs
+from wayledger.operators.temporal import sum_before
 
 _AT = ("olat", "olng")
 
@@ -102,14 +103,14 @@ def near_lines(points: DataFrame, key: str, lines: DataFrame, line: str, path: s
     return near_pairs(points.select(key, "lat", "lng"), v, radius_m, other=_AT).groupBy(line, key).agg(F.min("distance_m").alias("distance_m"))
 
 
-def overlap_counts(df: DataFrame, entity: str, start_day: str, end_day: str) -> DataFrame:
+def overlap_counts(df: DataFrame, entity: str, start_day: str, end_day: str, width: float = 32) -> DataFrame:
     """(entity, pairs): how many pairs of an entity's rows overlap or touch, by days; rows without a start count in none,
     a missing end is open. All pairs, less those of which one ended before the other began: those are counted from running
-    sums over the days that occur, so no pair is formed and a task holds a row a day of an entity."""
+    sums over the days (or instants) that occur, made within slabs of a width, so no pair is formed and no entity is the
+    work of one task."""
     own = df.where(F.col(start_day).isNotNull() & (F.col(end_day).isNull() | (F.col(end_day) >= F.col(start_day))))
     begun = own.groupBy(entity, F.col(start_day).alias("_d")).agg(F.count("*").alias("_s"), F.lit(0).cast("long").alias("_e"))
     ended = own.where(F.col(end_day).isNotNull()).groupBy(entity, F.col(end_day).alias("_d")).agg(F.lit(0).cast("long").alias("_s"), F.count("*").alias("_e"))
     days = begun.unionByName(ended).groupBy(entity, "_d").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
-    before = F.coalesce(F.sum("_e").over(Window.partitionBy(entity).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = days.withColumn("_before", before).groupBy(entity).agg(F.sum("_s").alias("_n"), F.sum(F.col("_s") * F.col("_before")).alias("_apart"))
+    n = sum_before(days, entity, "_d", "_e", "_ended", width).groupBy(entity).agg(F.sum("_s").alias("_n"), F.sum(F.col("_s") * F.col("_ended")).alias("_apart"))
     return n.select(entity, (F.col("_n") * (F.col("_n") - 1) / 2 - F.col("_apart")).cast("long").alias("pairs"))

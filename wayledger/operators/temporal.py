@@ -9,6 +9,8 @@ from wayledger.session import broadcast_if_small
 
 DAY = 86_400_000
 HOUR = 3_600_000
+#: Rows that a slab of a running sum holds on average.
+SLAB_ROWS = 50_000
 
 
 def day_of(ms: str | Column) -> Column:
@@ -99,12 +101,40 @@ def overlap_pairs(df: DataFrame, key: str, entity: str, start: str, end: str, sl
     return pairs.where(F.col("aslab") == F.greatest("as0", "bs0")).select(F.col("ae").alias(entity), F.col("ak").alias("a"), F.col("bk").alias("b"))
 
 
+def overlapping(df: DataFrame, entity: str, start: str, end: str, width: float = 32 * DAY) -> DataFrame:
+    """The rows that overlap or touch another row of their entity; start and end not null. A row does if one before it, by
+    start, reaches it, or the next one begins before it ends. Rows are ordered within slabs of the start only; what other
+    slabs add is one farthest end and one first start for each, so no entity is the work of one task."""
+    own = df.withColumn("_slab", F.floor(F.col(start) / F.lit(width)))
+    w, per = Window.partitionBy(entity, "_slab").orderBy(start, end), Window.partitionBy(entity).orderBy("_slab")
+    ends = own.groupBy(entity, "_slab").agg(F.max(end).alias("_far"), F.min(start).alias("_near"))
+    ends = ends.select(entity, "_slab", F.max("_far").over(per.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.lead("_near").over(per).alias("_after"))
+    reach = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    flagged = own.join(ends, [entity, "_slab"]).withColumns({"_reach": reach, "_next": F.coalesce(F.lead(start).over(w), F.col("_after"))})
+    return flagged.where((F.col("_reach") >= F.col(start)) | (F.col("_next") <= F.col(end))).drop("_reach", "_next", "_slab", "_before", "_after")
+
+
+def sum_before(df: DataFrame, group: str, order: str, value: str, name: str, width: float) -> DataFrame:
+    """df with name: the sum of value over the rows of the group before each, by the order column, whose values are unique
+    in a group and not null. The order is cut into slabs of a width; sums of slabs are run up per group, a row a slab, and
+    rows within slabs only."""
+    own = df.withColumn("_slab", F.floor(F.col(order) / F.lit(width)))
+    per = own.groupBy(group, "_slab").agg(F.sum(value).alias("_sum"))
+    before = per.select(group, "_slab", F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(group, "_slab").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return own.join(before, [group, "_slab"]).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_slab", "_before")
+
+
 def first_in_interval(df: DataFrame, key: str, start: str, end: str, points: DataFrame, at: str, order: str, also: Column | None = None, slab: int = 64) -> DataFrame:
     """(key, columns of points): for each row the first of the points, by order, that lies between its start and end day.
     An equi-join of slabs of days with the exact test behind it; points are broadcast if they are few."""
     p = points.withColumn("_d", day_of(at)).where("_d is not null").withColumn("_slab", F.floor(F.col("_d") / slab))
     own = df.select(key, day_of(start).alias("_a"), day_of(end).alias("_b"), *[c for c in df.columns if c not in (key, start, end)]).where("_a <= _b")
-    own = own.withColumn("_slab", F.explode(F.sequence(F.floor(F.col("_a") / slab), F.floor(F.col("_b") / slab))))
+    # no row goes into more slabs than the points span
+    ends = p.agg(F.min("_slab"), F.max("_slab")).first()
+    lo, hi = (F.lit(0 if x is None else x).cast("long") for x in ends)
+    own = own.withColumns({"_lo": F.greatest(F.floor(F.col("_a") / slab), lo), "_hi": F.least(F.floor(F.col("_b") / slab), hi)}).where("_lo <= _hi")
+    own = own.withColumn("_slab", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
     joined = own.join(broadcast_if_small(p, 10_000), "_slab").where(F.col("_d").between(F.col("_a"), F.col("_b")) & (also if also is not None else F.lit(True)))
     best = joined.groupBy(key).agg(F.min_by(F.struct(*points.columns), F.col(order)).alias("_p"))
     return best.select(key, *[F.col(f"_p.{c}").alias(c) for c in points.columns])
@@ -138,6 +168,7 @@ def peak_hours(heat: DataFrame) -> DataFrame:
 
 
 def running_offset(df: DataFrame, group: str, order: str, duration: str) -> DataFrame:
-    """df with offset: the sum of the durations before each row of its group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("long"))
+    """df with offset: the sum of the durations before each row of its group, by a numeric order that is unique there."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1.0, (float(high) - float(low)) / max(1, n // SLAB_ROWS)) if n else 1.0
+    return sum_before(df, group, order, duration, "offset", width).withColumn("offset", F.col("offset").cast("long"))

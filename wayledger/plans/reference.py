@@ -484,8 +484,10 @@ def overlap_pairs(spark, d):
 
 @query
 def clash_rollup(spark, d):
-    pairs = overlap_pairs(spark, d)
-    n = pairs.groupBy("road").agg(F.count("*").alias("pairs"), F.min("a").alias("first"))
+    """Roads by how many pairs of their rows overlap, and the first row of a pair. Pairs are counted, not formed; the first
+    row of a pair is the smallest that overlaps any other."""
+    r = table(spark, d, "road_status").select("row_id", F.lower(squash("road")).alias("road"), F.coalesce(epoch_ms("start_date"), F.lit(-(1 << 60))).alias("s"), F.coalesce(epoch_ms("end_date"), F.lit(1 << 60)).alias("t")).where("road is not null and s <= t")
+    n = spatial.overlap_counts(r, "road", "s", "t", 32 * temporal.DAY).where("pairs > 0").join(temporal.overlapping(r, "road", "s", "t").groupBy("road").agg(F.min("row_id").alias("first")), "road")
     return n.withColumn("level", rules.tier("pairs", [(50, "breach"), (10, "coordination"), (3, "monitor")], "none"))
 
 

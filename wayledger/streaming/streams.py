@@ -12,14 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayledger.operators.dedupe import archive_additions
 from wayledger.operators.intervals import IntervalMap
+from wayledger.operators.redelivery import admit_batch
 from wayledger.sources.sinks import append_archive
 
 
 def once_per_message(stream: DataFrame, key: str, at: str, within: str = "30 days") -> DataFrame:
-    """One copy of each message among those that arrive within a time of each other; state older than that is dropped."""
+    """One copy of each message among those that arrive within a time of each other; state older than that is dropped, so
+    copies that come later pass. once_per_message_ever has no such bound."""
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
+def once_per_message_ever(store: str, key: str, updated: str, delivery: str):
+    """A function for foreachBatch that admits of each batch one row a key that no earlier batch brought, the newest of the
+    batch, however late a copy comes, and keeps it under store/batch=n. A batch that is run again gives the same."""
+    from wayledger.sources.landed import exists
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.parquet(store).where(F.col("batch") < batch_id) if exists(spark, f"{store}/batch=*") else batch.limit(0)
+        admit_batch(stored.select(key), batch, key, updated, delivery).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return run
+
+
 def interval_state(stream: DataFrame, entity: str, from_ms: str, to_ms: str) -> DataFrame:
     """(entity, span_kind, from_ms, to_ms, version): whenever an entity gets new intervals, its periods and gaps anew, with
     a rising version. The state of an entity is its ordered map of disjoint intervals; an insertion finds what it overlaps
