@@ -39,6 +39,14 @@ def test_pages_and_reports(spark, tmp_path):
         assert [(x.id, x.lat, len(x.description), x.council) for x in r] == [("7", "53.1", 300, "c")]
 
 
+def test_flows_of_each_point(spark, tmp_path):
+    rows = [{"count_point_id": 1, "year": 2019, "all_motor_vehicles": 5}, {"count_point_id": 1, "aadf_year": 2021, "all_motor_vehicles": 9}, {"count_point_id": 2, "all_motor_vehicles": 7}]
+    put(tmp_path / "f1.json", {"average_annual_daily_flow": rows})
+    points = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "count_point_id long, road string")
+    got = landed.newest_flow(points, landed.yearly_flows(spark, str(tmp_path / "f*.json"))).orderBy("count_point_id").collect()
+    assert [(r.count_point_id, r.flow_year, r.all_motor_vehicles) for r in got] == [(1, 2021, 9), (2, None, None), (3, None, None)]
+
+
 def test_map_elements(spark, tmp_path):
     doc = {"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0, "tags": {"highway": "crossing"}}, {"type": "way", "id": 2, "center": {"lat": 3.0, "lon": 4.0}, "tags": {"bridge": "yes", "maxweight": "7"}}, {"type": "node", "id": 3}]}
     tag = lambda k: F.col("tags")[k].isNotNull()

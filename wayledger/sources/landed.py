@@ -87,6 +87,19 @@ def count_point_pages(spark: SparkSession, folder: str, box: tuple[float, float,
     return p if box is None else p.where((F.col("lat") > box[0]) & (F.col("lat") < box[1]) & (F.col("lng") > box[2]) & (F.col("lng") < box[3]))
 
 
+def yearly_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly mean flows of landed answers, one or several for each count point: count_point_id, year (by either of its two
+    names) and all_motor_vehicles."""
+    f = records(spark, folder, "average_annual_daily_flow", "struct<count_point_id: bigint, year: int, aadf_year: int, all_motor_vehicles: bigint>")
+    return f.select("count_point_id", F.coalesce("year", "aadf_year").alias("year"), "all_motor_vehicles")
+
+
+def newest_flow(points: DataFrame, flows: DataFrame) -> DataFrame:
+    """points with flow_year and all_motor_vehicles of their own newest year; nulls where none was counted."""
+    newest = flows.where("year is not null").groupBy("count_point_id").agg(F.max_by(F.struct(F.col("year").alias("flow_year"), "all_motor_vehicles"), F.struct("year", "all_motor_vehicles")).alias("_f"))
+    return points.drop("flow_year", "all_motor_vehicles").join(newest.select("count_point_id", "_f.*"), "count_point_id", "left")
+
+
 def reports(spark: SparkSession, path: str, council: str, field: str = "service_requests") -> DataFrame:
     """Street reports from a document with a list, or from a bare list."""
     if not exists(spark, path):
